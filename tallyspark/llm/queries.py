@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, quality
+from . import bpe, langid, line_dedup, quality
 from .common import table
 
 
@@ -22,6 +22,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def _held_out(docs: DataFrame):
+    """Documents that op8 never learns from: crc32 of the id as text leaves 1 mod 3, or the id is null."""
+    return F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 3 == 1, F.lit(True))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, docs.filter(~_held_out(docs)))
+    return out.select("doc_id", _held_out(out).alias("held_out"), "lang_pred", "score")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -30,6 +41,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_language_id": op8_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
 
