@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, jaccard, langid, line_dedup, quality, topk
+from . import bpe, chat, html_text, jaccard, langid, line_dedup, mixing, quality, sharding, topk
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_quality(table(spark, sf_dir, "documents"))
 
 
+def op2_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
 def _vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -56,6 +60,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out(out).alias("held_out"), "lang_pred", "score")
 
 
+def domain(docs: DataFrame):
+    """A source's domain: the documents have none, so sources are dealt to four by their name's CRC-32."""
+    return F.concat(F.lit("d"), F.crc32(docs["source"].cast("binary")) % 4)
+
+
+MIXTURE = mixing.Mixture(weights={("d0",): 4.0, ("d1",): 3.0, ("d2",): 2.0, ("d3",): 1.0}, share=0.6, epochs=4, seed=11)
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = mixing.mix(docs, [domain(docs), docs["lang"], docs["source"]], MIXTURE)
+    return out.select("doc_id", domain(out).alias("domain"), "lang", "source", "mix_epoch", "mix_tokens", "mix_target")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -63,12 +81,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_balanced_sharding": op2_balanced_sharding,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_html_extraction": op7_html_extraction,
     "op8_language_id": op8_language_id,
+    "op9_source_mixing": op9_source_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
 
