@@ -16,18 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from the shared checkpoint folder.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary one is made. The files are reliable: a
-    lost executor does not lose them.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is made."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyspark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and read back from the shared checkpoint folder; a lost executor does not lose it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -19,7 +19,8 @@ def op2_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
-def _vocabulary() -> tuple[str, str]:
+def vocabulary() -> tuple[str, str]:
+    """Path of the rank file, and the pattern that splits text."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -29,7 +30,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_turns(rows.unionByName(more), *_vocabulary()), *_vocabulary())
+    return chat.read_back(chat.format_turns(rows.unionByName(more), *vocabulary()), *vocabulary())
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), *_vocabulary())
+    return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), *vocabulary())
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
