@@ -41,20 +41,30 @@ def tail_floor(q: int, n: int, head_share: float) -> int:
 
 
 def split(events: DataFrame, head: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Exact counts of head keys (window, part, slot, key, cnt), and the other events. The head is bounded by its capacity and broadcast."""
+    """Exact counts of head keys (window, part, slot, key, cnt), and the other events.
+
+    head is (slot, key), or (window, slot, key) where windows differ; it is bounded
+    by its capacity and broadcast.
+    """
+    on = ["window", "key"] if "window" in head.columns else ["key"]
     known = F.broadcast(head)
-    exact = events.filter("weight > 0").join(known, "key").groupBy("window", "part", "slot", "key").agg(F.sum("weight").alias("cnt"))
-    return exact, events.join(known.select("key"), "key", "left_anti")
+    exact = events.filter("weight > 0").join(known, on).groupBy("window", "part", "slot", "key").agg(F.sum("weight").alias("cnt"))
+    return exact, events.join(known.select(*on), on, "left_anti")
 
 
-def hybrid_report(events: DataFrame, head: DataFrame, q_tail: int, generation: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(parts, reports) of partitions with an exact head and a tail of q_tail counters."""
+def hybrid_report(events: DataFrame, head: DataFrame, q_tail: int | dict[int, int], generation: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(parts, reports) of partitions with an exact head and a tail of q_tail counters, or so many by window."""
     exact, rest = split(events, head)
     tail = space_saving(rest, q_tail)
-    mass = events.filter("weight > 0").groupBy("window", F.col("part").cast("int").alias("part")).agg(F.sum("weight").alias("n_local"))
-    in_head = exact.groupBy("window", F.col("part").cast("int").alias("part")).agg(F.sum("cnt").alias("head_mass"))
-    parts = mass.join(in_head, ["window", "part"], "left").select("window", "part", "n_local", F.lit(q_tail).cast("long").alias("q_local"), F.coalesce("head_mass", F.lit(0)).alias("head_mass"), F.lit(generation).cast("long").alias("head_gen"))
-    top = exact.select("window", F.col("part").cast("int").alias("part"), F.lit("head").alias("kind"), F.col("key").alias("id"), F.col("cnt").alias("est"), F.lit(0).cast("long").alias("eps"))
+    part = F.col("part").cast("int").alias("part")
+    mass = events.filter("weight > 0").groupBy("window", part).agg(F.sum("weight").alias("n_local"))
+    in_head = exact.groupBy("window", part).agg(F.sum("cnt").alias("head_mass"))
+    if isinstance(q_tail, dict):
+        q = F.element_at(F.create_map(*[F.lit(x) for k, v in q_tail.items() for x in (k, v)]), F.col("window")) if q_tail else F.lit(1)
+    else:
+        q = F.lit(q_tail)
+    parts = mass.join(in_head, ["window", "part"], "left").select("window", "part", "n_local", q.cast("long").alias("q_local"), F.coalesce("head_mass", F.lit(0)).alias("head_mass"), F.lit(generation).cast("long").alias("head_gen"))
+    top = exact.select("window", part, F.lit("head").alias("kind"), F.col("key").alias("id"), F.col("cnt").alias("est"), F.lit(0).cast("long").alias("eps"))
     low = tail.select("window", "part", F.lit("ss").alias("kind"), F.col("key").alias("id"), "est", "eps")
     return parts, top.unionByName(low)
 

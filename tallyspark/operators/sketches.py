@@ -331,15 +331,15 @@ def _over_parts(events: DataFrame, columns: list[str], start: Callable[[int, int
     return ordered.mapInArrow(run, schema)
 
 
-def space_saving(events: DataFrame, q: int, per_item: bool = True) -> DataFrame:
-    """Reports of Space-Saving with q counters for each (window, part): see REPORT; one row a counter."""
+def space_saving(events: DataFrame, q: int | dict[int, int], per_item: bool = True) -> DataFrame:
+    """Reports of Space-Saving with q counters for each (window, part), or q by window: see REPORT; one row a counter."""
 
     def feed(s: SpaceSaving, cols: dict) -> None:
         update = s.update
         for key, weight in zip(cols["key"], cols["weight"]):
             update(key, weight)
 
-    return _over_parts(events, ["key", "weight"], lambda w, p: SpaceSaving(q), feed, lambda w, p, s: [(w, p, s.mass, s.q, *r) for r in s.report(per_item)], REPORT)
+    return _over_parts(events, ["key", "weight"], lambda w, p: SpaceSaving(q[w] if isinstance(q, dict) else q), feed, lambda w, p, s: [(w, p, s.mass, s.q, *r) for r in s.report(per_item)], REPORT)
 
 
 def locked_buckets(events: DataFrame, width: int, depth: int = 6, lock: float = 0.7, theta: float = 0.01, mode: int = 2, seed: int = 1) -> DataFrame:

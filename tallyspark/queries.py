@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tables
-from .functions.columns import bucket_of, linear_quantile, nearest_rank, truncated_rank
-from .operators import exact, hybrid, metrics, reduce, sketches, windows
+from .functions.columns import bucket_of, nearest_rank, truncated_rank
+from .operators import exact, generate, hybrid, metrics, placement, reduce, sketches, windows
+from .plans import methods
 from .sources import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -452,10 +453,10 @@ def systems_summary(spark, d):
 
 
 @register("phase_masses", f"""WITH {LIC}, t AS (SELECT *, CAST(sum(cnt) OVER (PARTITION BY "window") AS BIGINT) AS mass FROM c), w AS (SELECT "window", any_value(mass) AS mass, count(*) AS keys, count(*) FILTER (WHERE cnt * 100 > mass) AS heavy,
- count(*) FILTER (WHERE cnt >= (mass // 100 + 1) * 0.8 AND cnt <= mass // 100 + 1) AS near FROM t GROUP BY ALL), ph AS (SELECT *, CASE WHEN "window" < 23930 THEN 'early' ELSE 'late' END AS phase FROM w WHERE "window" BETWEEN 23900 AND 23959)
+ count(*) FILTER (WHERE cnt >= (mass // 100 + 1) * 0.8 AND cnt <= mass // 100 + 1) AS near FROM t GROUP BY ALL), ph AS (SELECT *, CASE WHEN "window" < 23980 THEN 'early' ELSE 'late' END AS phase FROM w WHERE "window" BETWEEN 23950 AND 24009)
 SELECT phase, min(mass) AS mass_min, max(mass) AS mass_max, round(avg(keys), 6) AS keys_mean, round(avg(heavy), 6) AS heavy_mean, min(heavy) AS heavy_min, max(heavy) AS heavy_max, round(avg(near), 6) AS near_mean FROM ph GROUP BY ALL""")
 def phase_masses(spark, d):
-    steps = spark.createDataFrame([(1, "before", 23900), (2, "early", 30), (3, "late", 30)], "step int, phase string, duration int")
+    steps = spark.createDataFrame([(1, "before", 23950), (2, "early", 30), (3, "late", 30)], "step int, phase string, duration int")
     counts = exact.global_counts(tables.lineitem(spark, d))
     return rounded(metrics.mass_by_phase(counts, metrics.timeline(steps).filter("phase <> 'before'"), 100), "keys_mean", "heavy_mean", "near_mean")
 
@@ -474,3 +475,111 @@ def expanded_events(spark, d):
     whole = Window.partitionBy("window", "part")
     checked = out.withColumn("bad", (F.max("pos").over(whole) + 1 != F.count("*").over(whole)).cast("long"))
     return checked.groupBy("window", "part", "key").agg(F.sum("weight").alias("events"), F.sum("bad").alias("bad_positions"))
+
+
+# Placement
+
+@register("place_round_robin", f"""WITH {LIC}, s AS (SELECT *, CAST('0x' || substr(md5('3|' || key), 1, 8) AS BIGINT) % 8 AS start, unnest(range(0, 8)) AS i FROM c)
+SELECT "window", CAST((start + i) % 8 AS INTEGER) AS part, key, cnt // 8 + CASE WHEN i < cnt % 8 THEN 1 ELSE 0 END AS cnt FROM s WHERE cnt // 8 + CASE WHEN i < cnt % 8 THEN 1 ELSE 0 END > 0""")
+def place_round_robin(spark, d):
+    return placement.round_robin(exact.global_counts(tables.lineitem(spark, d)), 8, seed=3)
+
+
+PLACEMENT_SQL = f"""WITH {EVC} SELECT "window", count(*) AS keys, CAST(sum(cnt) AS BIGINT) AS mass, CAST(0 AS BIGINT) AS broken FROM c GROUP BY ALL"""
+
+
+def _placement(policy: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """Keys and mass of a placement by window, and the keys whose count it changed."""
+        counts = exact.global_counts(tables.events(spark, d))
+        placed = placement.place(counts, 8, policy, n=60, seed=17)
+        back = placed.groupBy("window", "key").agg(F.sum("cnt").alias("placed"))
+        both = counts.join(back, ["window", "key"], "full_outer")
+        return both.groupBy("window").agg(F.count("placed").alias("keys"), F.sum("placed").alias("mass"), F.count_if(~F.coalesce(F.col("cnt") == F.col("placed"), F.lit(False))).alias("broken"))
+
+    return run
+
+
+for _policy in ("synthetic_mixture", "persistent_locality", "source_prefix_locality", "imbalance", "certificate_stress", *placement.ADVERSARIES):
+    QUERIES[f"place_{_policy}"] = _placement(_policy)
+    ORACLE_SQL[f"place_{_policy}"] = PLACEMENT_SQL
+
+
+@register("counts_preserved", f"""WITH {EVC} SELECT "window", key, cnt, cnt AS placed FROM c WHERE FALSE""")
+def counts_preserved(spark, d):
+    counts = exact.global_counts(tables.events(spark, d))
+    return windows.preserved(counts, placement.round_robin(counts, 5))
+
+
+# Generation
+
+@register("generate_uniform", """SELECT 'key_' || i AS key, CAST(10007 // 300 + CASE WHEN i <= 10007 % 300 THEN 1 ELSE 0 END AS BIGINT) AS cnt FROM range(1, 301) t(i)""")
+def generate_uniform(spark, d):
+    return generate.uniform(spark, 10_007, 300)
+
+
+@register("generate_zipf", """WITH r AS (SELECT i, pow(CAST(i AS DOUBLE), -1.05) AS w FROM range(1, 301) t(i)), f AS (SELECT i, CAST(floor(w / (SELECT sum(w ORDER BY i) FROM r) * 100000) AS BIGINT) AS low FROM r),
+s AS (SELECT 100000 - CAST(sum(low) AS BIGINT) AS rest FROM f) SELECT 'key_' || i AS key, CAST(low + rest // 300 + CASE WHEN i <= rest % 300 THEN 1 ELSE 0 END AS BIGINT) AS cnt FROM f, s""")
+def generate_zipf(spark, d):
+    return generate.zipf(spark, 100_000, 300, 1.05)
+
+
+GENERATED = {
+    "normal": lambda spark: generate.normal(spark, 100_000, 500, 50),
+    "heavy_background": lambda spark: generate.heavy_and_background(spark, 100_000, 500, 50, 10),
+    "flattened": lambda spark: generate.flattened(spark, 100_000, 50, 10),
+}
+
+
+def _generated(make) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """Total, least count, and heavy keys of a distribution."""
+        return make(spark).agg(F.sum("cnt").alias("mass"), (F.min("cnt") > 0).alias("positive"), (F.count_if(F.col("cnt") * 50 > 100_000) >= 1).alias("has_heavy"))
+
+    return run
+
+
+for _name, _make in GENERATED.items():
+    QUERIES[f"generate_{_name}"] = _generated(_make)
+    ORACLE_SQL[f"generate_{_name}"] = "SELECT CAST(100000 AS BIGINT) AS mass, TRUE AS positive, TRUE AS has_heavy"
+
+
+@register("generate_head_halo", """SELECT CAST(i AS BIGINT) AS "window", CAST(60000 AS BIGINT) AS mass, TRUE AS all_heavy FROM range(0, 8) t(i)""")
+def generate_head_halo(spark, d):
+    rows = generate.head_halo(60_000, 15_000).frame(spark, 8)
+    return rows.groupBy("window").agg(F.sum("cnt").alias("mass"), (F.count_if(F.col("cnt") * 400 > 60_000) >= 12).alias("all_heavy"))
+
+
+@register("scenario_blend", f"""WITH {EVC}, o AS (SELECT min("window") AS w FROM c), a AS (SELECT key, cnt AS x FROM c, o WHERE "window" = w), b AS (SELECT key, cnt AS y FROM c, o WHERE "window" = w + 1)
+SELECT key, CAST(floor(0.75 * coalesce(x, 0) + 0.25 * coalesce(y, 0)) AS BIGINT) AS cnt FROM a FULL JOIN b USING (key) WHERE floor(0.75 * coalesce(x, 0) + 0.25 * coalesce(y, 0)) > 0""")
+def scenario_blend(spark, d):
+    counts = exact.global_counts(tables.events(spark, d))
+    first = counts.agg(F.min("window")).first()[0]
+    a, b = (counts.filter(F.col("window") == first + i).select("key", "cnt") for i in (0, 1))
+    return generate.blend(a, b, 0.25)
+
+
+@register("identity_matching", f"""WITH {EVC}, o AS (SELECT min("window") AS w FROM c), a AS (SELECT key AS old, row_number() OVER (ORDER BY cnt DESC, key) AS r FROM c, o WHERE "window" = w), b AS (SELECT key, cnt, row_number() OVER (ORDER BY cnt DESC, key) AS r FROM c, o WHERE "window" = w + 1)
+SELECT coalesce(old, 'new_' || key) AS key, cnt FROM b LEFT JOIN a USING (r)""")
+def identity_matching(spark, d):
+    counts = exact.global_counts(tables.events(spark, d))
+    first = counts.agg(F.min("window")).first()[0]
+    a, b = (counts.filter(F.col("window") == first + i).select("key", "cnt") for i in (0, 1))
+    return generate.match_ranks(a, b)
+
+
+# Adaptive runs
+
+@register("adaptive_space_saving")
+def adaptive_space_saving(spark, d):
+    return methods.run_adaptive(tables.events(spark, d), methods.parse_methods("ss[epsilon-m=0.15]")[0], 60)
+
+
+@register("adaptive_hybrid")
+def adaptive_hybrid(spark, d):
+    return methods.run_adaptive(tables.events(spark, d), methods.parse_methods("hybrid[hyb-head=topn-frontier]")[0], 30)
+
+
+@register("method_benchmark")
+def method_benchmark(spark, d):
+    return methods.benchmark(tables.lineitem(spark, d), "oracle,ss[policy=static q=2n],hl[hl-cert=on],chk", 60, memory=16_384)
