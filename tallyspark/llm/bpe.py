@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import lean, slices
 
 NONE = np.int32(2**31 - 1)
 #: Code points that became letters or numbers after Unicode 16, the
@@ -42,7 +42,7 @@ NEWER = re.compile("[" + "".join("-".join(re.escape(chr(int(x, 16))) for x in pa
 UNASSIGNED = "\u0378"
 LONG = 192
 #: Most pieces that a worker remembers between batches, and the longest such piece.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
 
 
 class Bpe:
@@ -239,4 +239,4 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
                 cols, names = [*cols, pa.array(all_ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run), schema)

@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 from .bpe import Bpe, load
-from .common import slices
+from .common import lean, slices
 
 RESERVED = ("<turn>", "</turn>", "### System:", "### User:", "### Assistant:", "### Role:", "### Text:")
 OPEN, CLOSE, ROLE, TEXT = 0, 1, 5, 6
@@ -97,7 +97,7 @@ def format_turns(rows: DataFrame, path: str, pattern: str, loss_roles: tuple[str
             mask = pa.array([m.tolist() for _, m in made], pa.list_(pa.bool_()))
             yield pa.RecordBatch.from_arrays([part.column("conv"), part.column("turn"), ids, mask], names=["conv_id", "turn", "ids", "mask"])
 
-    return rows.select(rows[conv].alias("conv"), rows[turn].alias("turn"), rows[role].alias("role"), rows[text].alias("text")).mapInArrow(run, schema)
+    return rows.select(rows[conv].alias("conv"), rows[turn].alias("turn"), rows[role].alias("role"), rows[text].alias("text")).mapInArrow(lean(run), schema)
 
 
 def read_back(turns: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -138,4 +138,4 @@ def read_back(turns: DataFrame, path: str, pattern: str) -> DataFrame:
             yield rows([held])
 
     schema = f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ids").mapInArrow(run, schema)
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ids").mapInArrow(lean(run), schema)

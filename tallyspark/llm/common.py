@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space that separates words: \x20 and \x09 to \x0D.
@@ -31,6 +33,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Most bytes of an Arrow batch on its way to Python: texts may be long.
+BATCH_BYTES = 8 << 20
+
+
+def lean(run: Callable) -> Callable:
+    """run for mapInArrow, with small batches coming in and its memory given back to the system at the end.
+
+    Python workers serve one task after another, each with what the last one left;
+    the batch limit of the session is only ever lowered.
+    """
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark and spark.conf.get(key, None)
+    if now and (not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES):
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return freed
+
+
+def release() -> None:
+    """Free memory of this process goes back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Each batch, cut into runs of rows whose `text` has about `limit` bytes (one row at least)."""
     for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,14 +40,16 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], names=["v", "u"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, thin: bool = True) -> DataFrame:
     """(v, root) of each node v of edges (a, b) that isn't the least of its component; root is that least node.
 
-    Self loops and repeated edges don't matter. Each round is written to the
+    Self loops and repeated edges don't matter. With thin, the edges of each batch
+    are first reduced to stars, in Python; each round is written to the
     checkpoint folder, so that lineage stays short.
     """
-    now = edges.select("a", "b").filter("a <> b").mapInArrow(_thin, "v long, u long").distinct()
-    now, seen = cut(now), None
+    now = edges.select("a", "b").filter("a <> b")
+    now = now.mapInArrow(lean(_thin), "v long, u long") if thin else now.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
+    now, seen = cut(now.distinct()), None
     for _ in range(most_rounds):
         both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).union(now.select("u", "v"))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))

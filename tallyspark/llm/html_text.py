@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import lean, slices
 
 WINDOW = 3
 #: Comments, elements whose content is not markup (to their end or the page's), and tags.
@@ -141,4 +141,4 @@ def extract_text(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url")
             cols = [part.column(k) for k in keys] + [pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*id_cols, "text", "n_chars"])
 
-    return pages.select(*[pages[c].alias(k) for c, k in zip(id_cols, keys)], pages[html_col].alias("page")).mapInArrow(run, schema)
+    return pages.select(*[pages[c].alias(k) for c, k in zip(id_cols, keys)], pages[html_col].alias("page")).mapInArrow(lean(run), schema)

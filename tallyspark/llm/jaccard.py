@@ -26,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, slices
+from .common import cut, lean, mix64, slices
 from .graph import components
 
 MIX = np.uint64(0xD1342543DE82EF95)
@@ -221,11 +221,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     that a search task holds of a side.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
-    sets = cut(rows.mapInArrow(_sets(width), "doc long, n long, lo long, hi long"))
+    sets = cut(rows.mapInArrow(lean(_sets(width)), "doc long, n long, lo long, hi long"))
     classes = sets.filter("n > 0 and doc is not null").groupBy("lo", "hi").agg(F.min("doc").alias("rep"), F.first("n").alias("n"))
 
-    marks = rows.mapInArrow(_signatures(width, percent), "sig long, doc long")
-    near = marks.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(_stars, "a long, b long").distinct()
+    marks = rows.mapInArrow(lean(_signatures(width, percent)), "sig long, doc long")
+    near = marks.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(lean(_stars), "a long, b long").distinct()
     groups = components(near)
     grouped = groups.select(F.col("v").alias("rep"), "root").union(groups.select(F.col("root").alias("rep"), "root").distinct())
     # classes with the group of their representative; groups of one class have nothing to search
@@ -242,10 +242,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     place = F.struct(small.alias("small"), key.alias("key"), pairs.alias("pairs"))
     members = asked.select(F.col("rep").alias("doc"), "lo", "hi", place.alias("place"))
     held = rows.join(members, "doc").select("doc", "text", "lo", "hi", "place")
-    grams = held.mapInArrow(_grams(width), f"doc long, place {members.schema['place'].dataType.simpleString()}, grams binary")
+    grams = held.mapInArrow(lean(_grams(width)), f"doc long, place {members.schema['place'].dataType.simpleString()}, grams binary")
     tasks = grams.select("doc", "grams", "place.small", "place.key", F.explode("place.pairs").alias("p")).select("doc", "grams", "small", "key", "p.i", "p.j", "p.asks")
     links = tasks.groupBy("small", "key", "i", "j").applyInArrow(_search(width, percent), "a long, b long")
-    linked = components(links)
+    linked = components(links, thin=False)
 
     final = classes.join(linked.select(F.col("v").alias("rep"), "root"), "rep", "left").select("lo", "hi", F.coalesce("root", "rep").alias("component"))
     out = sets.join(final, ["lo", "hi"], "left")

@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, slices
+from .common import cut, lean, mix64, slices
 
 WS = b" \t\n\x0b\x0c\r"
 GAMMA = 2
@@ -118,7 +118,7 @@ def line_counts(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
             if lo:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hi, lo, ids)], names=["hi", "lo", "doc"])
 
-    lines = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "hi long, lo long, doc long")
+    lines = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run), "hi long, lo long, doc long")
     return lines.groupBy("hi", "lo").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper"))
 
 
@@ -163,7 +163,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for wave in waves:
         bodies = built.filter(F.col("shard").isin(wave)).select("shard", "body").collect()
         shared = spark.sparkContext.broadcast({r.shard: bytes(r.body) for r in bodies})
-        frame = frame.mapInArrow(_probe(shared, shards, min_chars, min_docs, last=wave is waves[-1]), frame.schema)
+        frame = frame.mapInArrow(lean(_probe(shared, shards, min_chars, min_docs, last=wave is waves[-1])), frame.schema)
     cols = [F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return frame.select(*cols, "n_lines", F.size("gone").cast("long").alias("n_dropped"))
 

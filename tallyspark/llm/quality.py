@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from .common import ASCII_WS, mix64, slices
+from .common import ASCII_WS, lean, mix64, slices
 
 SYMBOLS = b"#*$%&|<>"
 BASE = np.uint64(0xD1342543DE82EF95)  # odd, so that powers of it stay invertible mod 2**64
@@ -138,4 +138,4 @@ def repetition_quality(docs: DataFrame, rules: QualityRules | None = None, id_co
             cols = [part.column("id")] + [pa.array(got[x]) for x in [*names, "base_failed", "kept", *shares]]
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, *names, "base_failed", "kept", *shares])
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run), schema)

@@ -21,6 +21,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lean
+
 DIMENSIONS, CANDIDATES, QUERIES = 16, 8192, 256
 LEAST, MOST = -(2**63), 2**63 - 1
 
@@ -124,7 +126,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
             ids.append(r.id)
             vs.append(r.v)
         packed = {w: (np.array(ids, np.int64), np.floor(np.array(vs, np.float64).reshape(len(ids), w) * scale)) for w, (ids, vs) in groups.items()}
-        one = rows.select("id", "v").mapInArrow(_search(spark.sparkContext.broadcast(packed), k, scale), "query_id long, vec_id long, score long")
+        one = rows.select("id", "v").mapInArrow(lean(_search(spark.sparkContext.broadcast(packed), k, scale)), "query_id long, vec_id long, score long")
         found = one if found is None else found.union(one)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
