@@ -116,15 +116,18 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, id_col: s
     total = base.count()
     limits = [total // shards + (s < total % shards) for s in range(shards)]
 
-    star = max(2, min(BUCKET, total // (4 * shards)))
+    room = max(2, total // (2 * shards))  # half a shard
+    star = min(BUCKET, room)
     groups = base.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     parted = base.select("key", "vertex").join(groups, "key").withColumn("part", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("n") / star)))
     anchors = parted.groupBy("key", "part").agg(F.min("vertex").alias("anchor"))
-    linked = cut(parted.join(anchors, ["key", "part"]).select("vertex", "anchor"))
+    # the stars of a group start together, as many as half a shard holds
+    home = F.xxhash64("key", F.floor(F.col("part") / (room // star)))
+    begin = F.when(F.col("vertex") == F.col("anchor"), home).otherwise(F.xxhash64("vertex"))
+    linked = cut(parted.join(anchors, ["key", "part"]).select("vertex", "anchor", F.pmod(begin, F.lit(shards)).cast("int").alias("shard")))
     spokes = linked.filter("vertex <> anchor")
     edges = spokes.select(F.col("anchor").alias("src"), F.col("vertex").alias("dst")).union(spokes.select("vertex", "anchor"))
-    start = linked.withColumn("shard", F.pmod(F.xxhash64("vertex"), F.lit(shards)).cast("int"))
-    labels = propagate(start, edges, limits, rounds)
+    labels = propagate(linked, edges, limits, rounds)
 
     # linked rows keep their shards up to the limits; what is over, and rows without links, fill the shards
     kept = cut(ranked(labels, "shard", F.xxhash64("anchor"), ["anchor", "vertex"], total, "slot"))
