@@ -103,7 +103,7 @@ class Automaton:
             missed = np.flatnonzero(to == 0)
             if len(missed):
                 again = root[c[missed]]
-                count[missed] += 1 + (again == 0)
+                count[missed] += (state[missed] != 1).astype(np.int64) + (again == 0)  # the open phrase, and a symbol that is one by itself
                 to[missed] = np.where(again == 0, 1, again)
             state[:n] = to
         return count + (state != 1)
