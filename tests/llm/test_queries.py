@@ -1,0 +1,52 @@
+"""Registered queries against their SQL, and the pipeline's stages against plain versions, on the small tables."""
+
+from collections import Counter
+
+import pytest
+
+from tallyspark.llm import queries
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_matches_sql(name, same):
+    same(queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns, out = docs.columns, docs
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = out
+        out = spark.createDataFrame(stage(spark, before, SMALL).collect(), stage(spark, before, SMALL).schema)
+        seen[name] = (before.collect(), out.collect())
+        assert name == "bpe_tokens" or out.columns == columns
+    before, after = seen["language_id"]
+    assert {r.doc_id for r in before if any(c.isalpha() for c in r.text)} >= {r.doc_id for r in after} and len(after) > 0.99 * len(before)
+    before, after = seen["line_dedup"]
+    assert len(before) == len(after) and all(r.n_chars == len(r.text) for r in after)
+    before, after = seen["near_duplicates"]
+    grams = {r.doc_id: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := r.text.lower().split()) else set() for r in before}
+    left, ids = {r.doc_id for r in after}, sorted(grams)
+    close = lambda a, b: bool(a and b) and 5 * len(a & b) >= 4 * len(a | b)
+    for i, a in enumerate(ids):
+        near = [b for b in ids if b != a and close(grams[a], grams[b])]
+        assert near or a in left
+        assert not (a in left and any(b in left for b in near))
+    before, after = seen["source_mixing"]
+    tokens = lambda rows: sum(len(r.text.split()) for r in rows)
+    assert 0.85 * tokens(before) <= tokens(after) <= 0.95 * tokens(before) + 1
+    before, after = seen["bpe_tokens"]
+    assert Counter(r.doc_id for r in before) == Counter(r.doc_id for r in after)
+
+
+def test_pipeline_run(spark):
+    rows = corpus_pipeline.run(spark, SMALL)
+    assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 100
