@@ -583,3 +583,86 @@ def adaptive_hybrid(spark, d):
 @register("method_benchmark")
 def method_benchmark(spark, d):
     return methods.benchmark(tables.lineitem(spark, d), "oracle,ss[policy=static q=2n],hl[hl-cert=on],chk", 60, memory=16_384)
+
+
+# Summaries of runs, over rows made from counts in place of measurements
+
+RUN_SQL = LI + """, k AS (SELECT "window" - (SELECT min("window") FROM li) AS "window", 'm' || (part % 2) AS method, count(*) AS c FROM li GROUP BY ALL),
+run AS (SELECT "window", method, c AS heavy, (c - c % 7) / c AS recall, (c - c % 7) / (c - c % 7 + c % 5) AS precision, (c % 10) / 10 AS f1, CAST(c % 11 AS DOUBLE) AS aae, (c % 13) / 100 AS "are", 50 + c % 17 AS q, c * 10 AS mass,
+ c % 9 = 0 AS violation, c % 3 = 0 AS probe_issued, c % 6 = 0 AS probe_failed, c * 0.5::DOUBLE AS kib, 'd' AS dataset, 100 AS n, 'topn' AS head_policy, (c % 13) / 100 AS error, 0.05::DOUBLE AS epsilon FROM k)"""
+
+
+def run_rows(spark: SparkSession, d: str) -> DataFrame:
+    li = tables.lineitem(spark, d)
+    first = li.agg(F.min("window")).first()[0]
+    k = li.groupBy((F.col("window") - first).alias("window"), F.concat(F.lit("m"), (F.col("part") % 2).cast("string")).alias("method")).agg(F.count("*").alias("c"))
+    c = F.col("c")
+    tp = c - c % 7
+    return k.select(
+        "window", "method", c.alias("heavy"), (tp / c).alias("recall"), (tp / (tp + c % 5)).alias("precision"), ((c % 10) / 10).alias("f1"), (c % 11).cast("double").alias("aae"), ((c % 13) / 100).alias("are"), (50 + c % 17).alias("q"), (c * 10).alias("mass"),
+        (c % 9 == 0).alias("violation"), (c % 3 == 0).alias("probe_issued"), (c % 6 == 0).alias("probe_failed"), (c * 0.5).alias("kib"), F.lit("d").alias("dataset"), F.lit(100).alias("n"), F.lit("topn").alias("head_policy"), ((c % 13) / 100).alias("error"), F.lit(0.05).alias("epsilon"),
+    )
+
+
+def phases(spark: SparkSession) -> DataFrame:
+    return metrics.timeline(spark.createDataFrame([(1, "easy", 40), (2, "hard", 60)], "step int, phase string, duration int"))
+
+
+@register("phase_summary", f"""WITH {RUN_SQL}, p AS (SELECT *, CASE WHEN "window" < 40 THEN 'easy' ELSE 'hard' END AS phase FROM run WHERE "window" < 100)
+SELECT method, phase, round(avg(100 * aae / mass), 6) AS normalized_error, round(avg(q / 100), 6) AS q_over_n, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, round(avg(CAST(violation AS DOUBLE)), 6) AS violations, count(*) AS windows FROM p GROUP BY ALL""")
+def phase_summary(spark, d):
+    return rounded(metrics.phase_summary(run_rows(spark, d), phases(spark), 100), "normalized_error", "q_over_n", "recall", "f1", "violations")
+
+
+@register("controller_summary", f"""WITH {RUN_SQL} SELECT method, round(avg(f1), 6) AS f1, round(avg(recall), 6) AS recall, round(avg(aae), 6) AS aae, round(avg(q), 6) AS q_mean, round(stddev_samp(q), 6) AS q_volatility, round(avg(CAST(violation AS DOUBLE)), 6) AS violations,
+CAST(sum(CAST(probe_issued AS BIGINT)) AS BIGINT) AS probes, CAST(sum(CAST(probe_failed AS BIGINT)) AS BIGINT) AS failed_probes FROM run GROUP BY ALL""")
+def controller_summary(spark, d):
+    return rounded(metrics.controller_summary(run_rows(spark, d)), "f1", "recall", "aae", "q_mean", "q_volatility", "violations")
+
+
+@register("run_acceptance", f"""WITH {RUN_SQL}, s AS (SELECT method, avg(recall) AS recall, avg(q) AS q_mean FROM run GROUP BY ALL) SELECT min(recall) > 0.5 AS recall_holds, max(q_mean) < 70 AS capacity_holds, min(recall) > 0.5 AND max(q_mean) < 70 AS accepted FROM s""")
+def run_acceptance(spark, d):
+    return metrics.acceptance(metrics.controller_summary(run_rows(spark, d)), {"recall_holds": "min(recall) > 0.5", "capacity_holds": "max(q_mean) < 70"})
+
+
+@register("quality_summary", f"""WITH {RUN_SQL}, r AS (SELECT *, round(recall * heavy) AS tp FROM run WHERE "window" > 0), s AS (SELECT method, sum(tp) AS tp, sum(CASE WHEN precision > 0 THEN round(tp / precision) ELSE 0 END) AS said, sum(heavy) AS heavy, sum("are" * heavy) AS rel, avg(kib) AS a, min(kib) AS b, max(kib) AS c FROM r GROUP BY ALL)
+SELECT method, round(tp / said, 6) AS precision, round(tp / heavy, 6) AS recall, round(rel / heavy, 6) AS "are", round(a, 6) AS kib_mean, b AS kib_min, c AS kib_max FROM s""")
+def quality_summary(spark, d):
+    return rounded(metrics.quality_summary(run_rows(spark, d)), "precision", "recall", "are", "kib_mean")
+
+
+@register("epsilon_summary", f"""WITH {RUN_SQL} SELECT method, epsilon, round(avg(error), 6) AS error_mean, round(quantile_disc(error, 0.95), 6) AS error_p95, round(avg(CAST(error > epsilon AS DOUBLE)), 6) AS over_epsilon FROM run WHERE "window" > 0 GROUP BY ALL""")
+def epsilon_summary(spark, d):
+    return rounded(metrics.epsilon_summary(run_rows(spark, d)), "error_mean", "error_p95", "over_epsilon")
+
+
+@register("ablation_summary", f"""WITH {RUN_SQL} SELECT dataset, CAST(n AS INTEGER) AS n, head_policy, method, round(avg(f1), 6) AS f1, round(avg(recall), 6) AS recall, round(avg(aae), 6) AS aae, round(avg("are"), 6) AS "are", round(avg(kib), 6) AS kib, count(*) AS windows FROM run GROUP BY ALL""")
+def ablation_summary(spark, d):
+    return rounded(metrics.ablation_summary(run_rows(spark, d)), "f1", "recall", "aae", "are", "kib")
+
+
+@register("delta_summary", f"""WITH {RUN_SQL} SELECT CAST(q % 4 AS BIGINT) AS m, round(avg(CAST(violation AS DOUBLE)), 6) AS delta_selected, round(1 - sum(heavy) / sum(mass), 6) AS traffic_saved, round(sum(mass) / sum(q), 6) AS apply_speed_up FROM run GROUP BY ALL""")
+def delta_summary(spark, d):
+    rows = run_rows(spark, d).select((F.col("q") % 4).alias("m"), F.col("violation").alias("selected"), F.col("heavy").alias("bytes"), F.col("mass").alias("full_bytes"), F.col("mass").alias("full_ms"), F.col("q").alias("ms"))
+    return rounded(metrics.delta_summary(rows), "delta_selected", "traffic_saved", "apply_speed_up")
+
+
+@register("run_validation", f"""WITH {RUN_SQL}, w AS (SELECT "window", count(DISTINCT method) AS m, sum(CASE WHEN f1 < 0 OR f1 > 1 THEN 1 ELSE 0 END) AS o FROM run GROUP BY ALL) SELECT count(*) AS windows, count(*) FILTER (WHERE m <> 2) AS bad_windows, CAST(sum(o) AS BIGINT) AS outside, count(*) = 83 AND count(*) FILTER (WHERE m <> 2) = 0 AND sum(o) = 0 AS valid FROM w""")
+def run_validation(spark, d):
+    return metrics.validate_run(run_rows(spark, d), 83, ["m0", "m1"], ["f1", "recall"])
+
+
+@register("reducers_agree", f"""WITH {EVC} SELECT "window", key AS id, 1.0::DOUBLE AS a_est, 1.0::DOUBLE AS b_est, TRUE AS in_a, TRUE AS in_b FROM c WHERE FALSE""")
+def reducers_agree(spark, d):
+    """Certified sums against exact ones, for a summary large enough to be exact: no row differs."""
+    ev = tables.events(spark, d)
+    big = reduce.certify(*reduce.from_sketch(sketches.space_saving(ev, 100_000)), 100, prune=False).select("window", "id", F.col("est").cast("double").alias("est"))
+    plain = exact.global_counts(ev).select("window", F.col("key").alias("id"), F.col("cnt").cast("double").alias("est"))
+    return reduce.equivalent(big, plain, ["est"], keys=("window", "id"))
+
+
+@register("coordinator_bytes", SS + f""", {certify_sql(20)}, r AS (SELECT "window", count(*) * 24 AS records, count(DISTINCT key) AS ids FROM rep GROUP BY ALL), h AS (SELECT "window", count(DISTINCT part) * 32 AS headers FROM rep GROUP BY ALL), i AS (SELECT "window", count(*) AS items FROM cert WHERE cert_ub >= threshold GROUP BY ALL)
+SELECT "window", headers + records AS ingress, ids * 48 AS aggregate, coalesce(items, 0) * 64 AS result, headers + records + ids * 48 + coalesce(items, 0) * 64 AS peak FROM r JOIN h USING ("window") LEFT JOIN i USING ("window")""")
+def coordinator_bytes(spark, d):
+    parts, reports = reduce.from_sketch(sketches.space_saving(tables.events(spark, d), 10))
+    return reduce.coordinator_bytes(parts, reports, reduce.certify(parts, reports, 20))
