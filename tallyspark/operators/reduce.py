@@ -26,7 +26,7 @@ def from_sketch(sketch: DataFrame, kind: str = "ss") -> tuple[DataFrame, DataFra
 def certify(parts: DataFrame, reports: DataFrame, n: int, prune: bool = True) -> DataFrame:
     """One row per (window, id): est, reporters, omega, cert_lb, cert_ub, inflation, hidden, resolution_part, guaranteed, mass, threshold.
 
-    The non-reporters' least counters are the sum over all partitions less that
+    A partition must report an id once. The non-reporters' least counters are the sum over all partitions less that
     over reporters, so no key is paired with the partitions that miss it. With
     prune, keys whose upper bound is below the threshold go.
     """
@@ -36,23 +36,16 @@ def certify(parts: DataFrame, reports: DataFrame, n: int, prune: bool = True) ->
     totals = ceilings.groupBy("window").agg(F.sum("n_local").alias("mass"), F.sum("floor").alias("floors")).withColumn("threshold", strict_threshold(F.col("mass"), n))
     joined = reports.join(ceilings.select(*w, "n_local", "floor"), w)
     head, ss = F.col("kind") == "head", F.col("kind") == "ss"
-    per_part = joined.groupBy("window", "id", "part").agg(
+    # a partition reports an id once, so its rows are counted as they are: one shuffle
+    items = joined.groupBy("window", "id").agg(
         F.sum("est").alias("est"),
-        F.sum(F.when(head, F.lit(0)).otherwise(F.col("eps"))).alias("eps"),
-        F.first("n_local").alias("n_local"),
-        F.max("floor").alias("floor"),
-        F.bool_or(head).alias("head"),
-        F.bool_or(ss).alias("ss"),
-    )
-    items = per_part.groupBy("window", "id").agg(
-        F.sum("est").alias("est"),
-        F.sum("eps").alias("inflation"),
+        F.sum(F.when(head, F.lit(0)).otherwise(F.col("eps"))).alias("inflation"),
         F.count("*").alias("reporters"),
         F.sum("n_local").alias("seen"),
         F.sum("floor").alias("own_floor"),
         F.min("part").alias("resolution_part"),
-        F.bool_or("head").alias("head"),
-        F.bool_or("ss").alias("ss"),
+        F.bool_or(head).alias("head"),
+        F.bool_or(ss).alias("ss"),
     )
     both = items.join(totals, "window")
     hidden = F.when(F.col("head") | ~F.col("ss"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("floors") - F.col("own_floor")))

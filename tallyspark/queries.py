@@ -505,10 +505,13 @@ for _policy in ("synthetic_mixture", "persistent_locality", "source_prefix_local
     ORACLE_SQL[f"place_{_policy}"] = PLACEMENT_SQL
 
 
-@register("counts_preserved", f"""WITH {EVC} SELECT "window", key, cnt, cnt AS placed FROM c WHERE FALSE""")
+@register("counts_preserved", f"""WITH {EVC} SELECT "window", count(*) AS keys, CAST(sum(cnt) AS BIGINT) AS mass, CAST(0 AS BIGINT) AS changed FROM c GROUP BY ALL""")
 def counts_preserved(spark, d):
     counts = exact.global_counts(tables.events(spark, d))
-    return windows.preserved(counts, placement.round_robin(counts, 5))
+    placed = placement.round_robin(counts, 5)
+    changed = windows.preserved(counts, placed).groupBy("window").agg(F.count("*").alias("changed"))
+    back = windows.collapse_partitions(placed).groupBy("window").agg(F.count("*").alias("keys"), F.sum("cnt").alias("mass"))
+    return back.join(changed, "window", "left").withColumn("changed", F.coalesce("changed", F.lit(0)))
 
 
 # Generation
@@ -652,13 +655,15 @@ def run_validation(spark, d):
     return metrics.validate_run(run_rows(spark, d), 83, ["m0", "m1"], ["f1", "recall"])
 
 
-@register("reducers_agree", f"""WITH {EVC} SELECT "window", key AS id, 1.0::DOUBLE AS a_est, 1.0::DOUBLE AS b_est, TRUE AS in_a, TRUE AS in_b FROM c WHERE FALSE""")
+@register("reducers_agree", f"""WITH {EVC} SELECT "window", count(*) AS ids, CAST(sum(cnt) AS BIGINT) AS mass, CAST(0 AS BIGINT) AS differing FROM c GROUP BY ALL""")
 def reducers_agree(spark, d):
-    """Certified sums against exact ones, for a summary large enough to be exact: no row differs."""
+    """Certified sums against exact ones, for a summary large enough to be exact."""
     ev = tables.events(spark, d)
-    big = reduce.certify(*reduce.from_sketch(sketches.space_saving(ev, 100_000)), 100, prune=False).select("window", "id", F.col("est").cast("double").alias("est"))
-    plain = exact.global_counts(ev).select("window", F.col("key").alias("id"), F.col("cnt").cast("double").alias("est"))
-    return reduce.equivalent(big, plain, ["est"], keys=("window", "id"))
+    big = reduce.certify(*reduce.from_sketch(sketches.space_saving(ev, 100_000)), 100, prune=False).select("window", "id", "est")
+    plain = exact.global_counts(ev).select("window", F.col("key").alias("id"), F.col("cnt").alias("est"))
+    differ = reduce.equivalent(big, plain, ["est"], keys=("window", "id")).groupBy("window").agg(F.count("*").alias("differing"))
+    sums = big.groupBy("window").agg(F.count("*").alias("ids"), F.sum("est").alias("mass"))
+    return sums.join(differ, "window", "left").withColumn("differing", F.coalesce("differing", F.lit(0)))
 
 
 @register("coordinator_bytes", SS + f""", {certify_sql(20)}, r AS (SELECT "window", count(*) * 24 AS records, count(DISTINCT key) AS ids FROM rep GROUP BY ALL), h AS (SELECT "window", count(DISTINCT part) * 32 AS headers FROM rep GROUP BY ALL), i AS (SELECT "window", count(*) AS items FROM cert WHERE cert_ub >= threshold GROUP BY ALL)

@@ -56,7 +56,8 @@ def streaming_summaries(events: DataFrame, width_seconds: int, late: str, q: int
     """Space-Saving reports of each (window, part), kept as bounded state and emitted when the watermark closes the window.
 
     events have ts, part, pos, key, weight. The order inside a micro-batch is pos;
-    micro-batches are in arrival order.
+    micro-batches are in arrival order. Events of a window that the watermark has
+    closed are dropped.
     """
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -69,11 +70,14 @@ def streaming_summaries(events: DataFrame, width_seconds: int, late: str, q: int
             rows = [(window, part, summary.mass, summary.q, *r) for r in summary.report()]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in _SUMMARY.split(", ")])
             return
+        end = int((window + 1) * width_seconds * 1000)
+        if end <= state.getCurrentWatermarkMs():
+            return
         for frame in frames:
             for key, weight in frame.sort_values("pos")[["key", "weight"]].itertuples(index=False):
                 summary.update(key, int(weight))
         state.update(save(summary))
-        state.setTimeoutTimestamp(int((window + 1) * width_seconds * 1000))
+        state.setTimeoutTimestamp(end)
 
     kept = events.filter("weight > 0").withWatermark("ts", late)
     at = kept.withColumn("window", F.floor(F.unix_seconds("ts") / width_seconds).cast("long"))

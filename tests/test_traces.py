@@ -140,6 +140,26 @@ def test_streaming_heavy_hitters(spark, tmp_path):
     assert {r.key for r in got} == {"hot"} and all(r.cnt == 10 for r in got) and len(got) == 2  # later windows end after the watermark
 
 
+def test_streaming_summaries(spark, tmp_path):
+    from tallyspark.operators.sketches import SpaceSaving
+
+    keys = [("a", "b", "a", "c", "d", "a")[i % 6] for i in range(30)]
+    for n, minute in enumerate((0, 1, 5)):
+        data = [(f"2024-01-01 00:0{minute}:{i:02}", 0, i, k, 1) for i, k in enumerate(keys)]
+        frame = spark.createDataFrame(data, "ts string, part int, pos long, key string, weight long").withColumn("ts", F.to_timestamp("ts"))
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = pipeline.streaming_summaries(pipeline.read_events(spark, str(tmp_path / "in"), files_a_trigger=1), 60, "1 second", 2)
+    query = stream.writeStream.format("memory").queryName("summaries").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    plain = SpaceSaving(2)
+    for k in keys:
+        plain.update(k)
+    got = spark.table("summaries").collect()
+    assert len({r.window for r in got}) == 2
+    for w in {r.window for r in got}:
+        assert sorted((r.key, r.est, r.eps) for r in got if r.window == w) == sorted(plain.report())
+
+
 def test_summary_state_survives(spark):
     from tallyspark.operators.sketches import SpaceSaving
 
