@@ -12,9 +12,10 @@ import heapq
 import math
 import random
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,30 +46,36 @@ class SpaceSaving:
             self.reset()
 
     def update(self, key: str, weight: int = 1) -> None:
-        if weight <= 0:
-            return
-        self.mass += weight
-        self.clock += 1
-        count = self.count
-        if key in count:
-            count[key] += weight
-            self.touched[key] = self.clock
-            return
-        error = 0
-        if len(count) >= self.q:
-            heap, touched = self.heap, self.touched
-            while True:
+        self.update_all((key,), (weight,))
+
+    def update_all(self, keys: Iterable[str], weights: Iterable[int]) -> None:
+        """Updates in order. Weights that aren't positive change nothing."""
+        count, error, touched, heap, q = self.count, self.error, self.touched, self.heap, self.q
+        clock, mass = self.clock, self.mass
+        for key, weight in zip(keys, weights):
+            if weight <= 0:
+                continue
+            mass += weight
+            clock += 1
+            if key in count:
+                count[key] += weight
+                touched[key] = clock
+                continue
+            least = 0
+            if len(count) >= q:
                 c, t, old = heap[0]
-                if count[old] == c and touched[old] == t:
-                    break
-                heapq.heapreplace(heap, (count[old], touched[old], old))
-            error = count.pop(old)
-            del self.error[old], touched[old]
-            self.largest_error = max(self.largest_error, error)
-            heapq.heapreplace(heap, (error + weight, self.clock, key))
-        else:
-            heapq.heappush(self.heap, (weight, self.clock, key))
-        count[key], self.error[key], self.touched[key] = error + weight, error, self.clock
+                while count[old] != c or touched[old] != t:
+                    heapq.heapreplace(heap, (count[old], touched[old], old))
+                    c, t, old = heap[0]
+                least = count.pop(old)
+                del error[old], touched[old]
+                if least > self.largest_error:
+                    self.largest_error = least
+                heapq.heapreplace(heap, (least + weight, clock, key))
+            else:
+                heapq.heappush(heap, (weight, clock, key))
+            count[key], error[key], touched[key] = least + weight, least, clock
+        self.clock, self.mass = clock, mass
 
     def report(self, per_item: bool = True) -> list[tuple[str, int, int]]:
         """(key, estimate, error), largest first, the most recently touched first among equals; one common error without per_item."""
@@ -293,6 +300,15 @@ class CuckooKeeper:
         return sorted(total.items())
 
 
+def _values(column: pa.Array) -> list:
+    """A column's values; equal strings are one object, whose hash is known after its first use."""
+    if pa.types.is_string(column.type):
+        coded = column.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        return [None if i is None else words[i] for i in coded.indices.to_pylist()]
+    return column.to_pylist()
+
+
 def _over_parts(events: DataFrame, columns: list[str], start: Callable[[int, int], object], feed: Callable[[object, dict], None], finish: Callable[[int, int, object], list[tuple]], schema: str) -> DataFrame:
     """Streams each (window, part), in order of pos, through a state; finish gives its rows."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -306,13 +322,14 @@ def _over_parts(events: DataFrame, columns: list[str], start: Callable[[int, int
 
         kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
         for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in ["window", "part", *columns]}
-            windows, parts = cols["window"], cols["part"]
+            if not batch.num_rows:
+                continue
+            windows, parts = (np.asarray(batch.column(c)) for c in ("window", "part"))
+            cols = {c: _values(batch.column(c)) for c in columns}
+            ends = np.append(np.flatnonzero((windows[1:] != windows[:-1]) | (parts[1:] != parts[:-1])) + 1, len(windows)).tolist()
             i = 0
-            while i < len(windows):
-                now, j = (windows[i], parts[i]), i
-                while j < len(windows) and windows[j] == now[0] and parts[j] == now[1]:
-                    j += 1
+            for j in ends:
+                now = (int(windows[i]), int(parts[i]))
                 if now != held:
                     if held is not None:
                         out += finish(*held, state)
@@ -327,7 +344,7 @@ def _over_parts(events: DataFrame, columns: list[str], start: Callable[[int, int
         if out:
             yield rows()
 
-    ordered = events.filter("weight > 0").select("window", F.col("part").cast("int").alias("part"), "pos", *columns).repartition("window", "part").sortWithinPartitions("window", "part", "pos")
+    ordered = events.filter("weight > 0 and window is not null and part is not null").select("window", F.col("part").cast("int").alias("part"), "pos", *columns).repartition("window", "part").sortWithinPartitions("window", "part", "pos")
     return ordered.mapInArrow(run, schema)
 
 
@@ -335,9 +352,7 @@ def space_saving(events: DataFrame, q: int | dict[int, int], per_item: bool = Tr
     """Reports of Space-Saving with q counters for each (window, part), or q by window: see REPORT; one row a counter."""
 
     def feed(s: SpaceSaving, cols: dict) -> None:
-        update = s.update
-        for key, weight in zip(cols["key"], cols["weight"]):
-            update(key, weight)
+        s.update_all(cols["key"], cols["weight"])
 
     return _over_parts(events, ["key", "weight"], lambda w, p: SpaceSaving(q[w] if isinstance(q, dict) else q), feed, lambda w, p, s: [(w, p, s.mass, s.q, *r) for r in s.report(per_item)], REPORT)
 
