@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.held import held
 from .sketches import space_saving
 
 
@@ -55,7 +56,7 @@ def split(events: DataFrame, head: DataFrame) -> tuple[DataFrame, DataFrame]:
 def hybrid_report(events: DataFrame, head: DataFrame, q_tail: int | dict[int, int], generation: int = 0) -> tuple[DataFrame, DataFrame]:
     """(parts, reports) of partitions with an exact head and a tail of q_tail counters, or so many by window."""
     exact, rest = split(events, head)
-    tail = space_saving(rest, q_tail)
+    tail = held(space_saving(rest, q_tail))
     part = F.col("part").cast("int").alias("part")
     mass = events.filter("weight > 0").groupBy("window", part).agg(F.sum("weight").alias("n_local"))
     in_head = exact.groupBy("window", part).agg(F.sum("cnt").alias("head_mass"))

@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import strict_threshold
+from ..functions.held import held
 
 
-def from_sketch(sketch: DataFrame, kind: str = "ss") -> tuple[DataFrame, DataFrame]:
-    """parts and reports of a sketch's rows."""
+def from_sketch(sketch: DataFrame, kind: str = "ss", hold: bool = True) -> tuple[DataFrame, DataFrame]:
+    """parts and reports of a sketch's rows. With hold, the sketch runs once, for all that is made of it."""
+    sketch = held(sketch) if hold else sketch
     parts = sketch.groupBy("window", "part").agg(F.max("n_local").alias("n_local"), F.max("q_local").alias("q_local"))
     reports = sketch.select("window", "part", F.lit(kind).alias("kind"), F.col("key").alias("id"), "est", F.coalesce("eps", F.lit(0)).alias("eps"))
     return parts, reports

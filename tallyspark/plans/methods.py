@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..functions.held import held
 from ..operators import exact, hybrid, metrics, reduce, sketches
 from .control import Capacity, Controller, Item, Policy, deployed
 
@@ -138,7 +139,7 @@ def run_static(events: DataFrame, method: Method, n: int, memory: int | None = N
     """(window, id, est, cert_lb, cert_ub, mass, threshold, ...) of all windows in one plan, for a fixed capacity."""
     budget = Capacity(memory) if memory else None
     if method.name == "oracle":
-        return reduce.certify(*reduce.from_sketch(sketches.exact_report(events), "head"), n, prune=False)
+        return reduce.certify(*reduce.from_sketch(sketches.exact_report(events), "head", hold=False), n, prune=False)
     if method.name == "ss":
         q = multiple(method.get("q", "n"), n)
         q = min(q, budget.counters()) if budget else q
@@ -149,7 +150,7 @@ def run_static(events: DataFrame, method: Method, n: int, memory: int | None = N
     if method.name == "hl":
         depth, width = int(method.get("hl-d", 6)), method.get("hl-w", "auto")
         width = (budget.width(depth) if budget else -(-8 * n // 25)) if width == "auto" else int(width)
-        cells = sketches.locked_buckets(events, width, depth, method.get("hl-L", 0.7), 1 / n, int(method.get("hl-lossy", 2)))
+        cells = held(sketches.locked_buckets(events, width, depth, method.get("hl-L", 0.7), 1 / n, int(method.get("hl-lossy", 2))))
         rest = cells.select("window", "part", "bucket", "residual").distinct() if method.get("hl-cert", False) else None
         parts = cells.groupBy("window", "part").agg(F.max("n_local").alias("n_local"))
         return reduce.reduce_buckets(cells.withColumnRenamed("key", "id"), n, depth, rest, parts)[0]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import tables
 from .functions.columns import bucket_of, nearest_rank, truncated_rank
+from .functions.held import held
 from .operators import exact, generate, hybrid, metrics, placement, reduce, sketches, windows
 from .plans import methods
 from .sources import streams
@@ -294,7 +295,7 @@ def locked_bucket_invariants(spark, d):
 
 @register("locked_bucket_certified")
 def locked_bucket_certified(spark, d):
-    cells = sketches.locked_buckets(tables.lineitem(spark, d), 32)
+    cells = held(sketches.locked_buckets(tables.lineitem(spark, d), 32))
     residuals = cells.select("window", "part", "bucket", "residual").distinct()
     parts = cells.groupBy("window", "part").agg(F.max("n_local").alias("n_local"))
     return reduce.reduce_buckets(cells.withColumnRenamed("key", "id"), 100, 6, residuals, parts)[0]
