@@ -592,7 +592,7 @@ def method_benchmark(spark, d):
 # Summaries of runs, over rows made from counts in place of measurements
 
 RUN_SQL = LI + """, k AS (SELECT "window" - (SELECT min("window") FROM li) AS "window", 'm' || (part % 2) AS method, count(*) AS c FROM li GROUP BY ALL),
-run AS (SELECT "window", method, c AS heavy, (c - c % 7) / c AS recall, (c - c % 7) / (c - c % 7 + c % 5) AS precision, (c % 10) / 10 AS f1, CAST(c % 11 AS DOUBLE) AS aae, (c % 13) / 100 AS "are", 50 + c % 17 AS q, c * 10 AS mass,
+run AS (SELECT "window", method, c AS heavy, (c - c % 7) / c AS recall, (c - c % 7) / (c - c % 7 + c % 5 + 1) AS precision, (c % 10) / 10 AS f1, CAST(c % 11 AS DOUBLE) AS aae, (c % 13) / 100 AS "are", 50 + c % 17 AS q, c * 10 AS mass,
  c % 9 = 0 AS violation, c % 3 = 0 AS probe_issued, c % 6 = 0 AS probe_failed, c * 0.5::DOUBLE AS kib, 'd' AS dataset, 100 AS n, 'topn' AS head_policy, (c % 13) / 100 AS error, 0.05::DOUBLE AS epsilon FROM k)"""
 
 
@@ -603,7 +603,7 @@ def run_rows(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("c")
     tp = c - c % 7
     return k.select(
-        "window", "method", c.alias("heavy"), (tp / c).alias("recall"), (tp / (tp + c % 5)).alias("precision"), ((c % 10) / 10).alias("f1"), (c % 11).cast("double").alias("aae"), ((c % 13) / 100).alias("are"), (50 + c % 17).alias("q"), (c * 10).alias("mass"),
+        "window", "method", c.alias("heavy"), (tp / c).alias("recall"), (tp / (tp + c % 5 + 1)).alias("precision"), ((c % 10) / 10).alias("f1"), (c % 11).cast("double").alias("aae"), ((c % 13) / 100).alias("are"), (50 + c % 17).alias("q"), (c * 10).alias("mass"),
         (c % 9 == 0).alias("violation"), (c % 3 == 0).alias("probe_issued"), (c % 6 == 0).alias("probe_failed"), (c * 0.5).alias("kib"), F.lit("d").alias("dataset"), F.lit(100).alias("n"), F.lit("topn").alias("head_policy"), ((c % 13) / 100).alias("error"), F.lit(0.05).alias("epsilon"),
     )
 
@@ -630,7 +630,7 @@ def run_acceptance(spark, d):
 
 
 @register("quality_summary", f"""WITH {RUN_SQL}, r AS (SELECT *, round(recall * heavy) AS tp FROM run WHERE "window" > 0), s AS (SELECT method, sum(tp) AS tp, sum(CASE WHEN precision > 0 THEN round(tp / precision) ELSE 0 END) AS said, sum(heavy) AS heavy, sum("are" * heavy) AS rel, avg(kib) AS a, min(kib) AS b, max(kib) AS c FROM r GROUP BY ALL)
-SELECT method, round(tp / said, 6) AS precision, round(tp / heavy, 6) AS recall, round(rel / heavy, 6) AS "are", round(a, 6) AS kib_mean, b AS kib_min, c AS kib_max FROM s""")
+SELECT method, round(CASE WHEN said > 0 THEN tp / said ELSE 1.0 END, 6) AS precision, round(tp / heavy, 6) AS recall, round(rel / heavy, 6) AS "are", round(a, 6) AS kib_mean, b AS kib_min, c AS kib_max FROM s""")
 def quality_summary(spark, d):
     return rounded(metrics.quality_summary(run_rows(spark, d)), "precision", "recall", "are", "kib_mean")
 
