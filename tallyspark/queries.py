@@ -141,6 +141,14 @@ def ordered_windows_with_gaps(spark, d):
     return windows.ordered_counts(t.filter("event_id % 97 = 0"), "ts", "event_type", 6, origin=start)
 
 
+@register("ordered_windows_all_events", """WITH e AS (SELECT date_diff('hour', date_trunc('day', (SELECT min(ts) FROM events)), ts) // 6 AS w, event_type FROM events),
+c AS (SELECT w, event_type, count(*) AS cnt FROM e GROUP BY ALL), g AS (SELECT unnest(range(0, (SELECT max(w) FROM c) + 1)) AS w)
+SELECT CAST(g.w AS BIGINT) AS "window", event_type AS key, coalesce(cnt, 0) AS cnt FROM g LEFT JOIN c USING (w)""")
+def ordered_windows_all_events(spark, d):
+    """ordered_windows_with_gaps over every event: gaps are those of the data."""
+    return windows.ordered_counts(spark.read.parquet(f"{d}/events.parquet"), "ts", "event_type", 6)
+
+
 @register("first_events", f"""WITH {EV} SELECT "window", part, pos, key FROM ev ORDER BY pos LIMIT 500""")
 def first_events(spark, d):
     return windows.first_events(tables.events(spark, d), 500).select("window", "part", "pos", "key")
