@@ -461,6 +461,18 @@ def systems_summary(spark, d):
     return rounded(out, *[c for c in out.columns if c not in ("method", "m")])
 
 
+@register("systems_summary_all_keys", f"""WITH {LI}, e AS (SELECT 'a' AS method, part AS m, CAST(CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % 5 AS INTEGER) AS repetition, "window" - 23000 AS w, CAST(count(*) AS DOUBLE) AS ms, count(*) * 1000 AS ev FROM li GROUP BY ALL),
+r AS (SELECT method, m, repetition, avg(ms) AS mean, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.95) AS p95, sum(ev) / sum(ms) / 1000 AS mevents_s FROM e WHERE w > 0 GROUP BY ALL)
+SELECT method, m, round(median(mean), 6) AS mean, round(quantile_cont(mean, 0.75) - quantile_cont(mean, 0.25), 6) AS mean_iqr, round(median(p50), 6) AS p50, round(quantile_cont(p50, 0.75) - quantile_cont(p50, 0.25), 6) AS p50_iqr,
+round(median(p95), 6) AS p95, round(quantile_cont(p95, 0.75) - quantile_cont(p95, 0.25), 6) AS p95_iqr, round(CAST(median(mevents_s) AS DOUBLE), 6) AS mevents_s, round(CAST(quantile_cont(mevents_s, 0.75) - quantile_cont(mevents_s, 0.25) AS DOUBLE), 6) AS mevents_s_iqr FROM r GROUP BY ALL""")
+def systems_summary_all_keys(spark, d):
+    """systems_summary over every row: a key's hash gives its repetition, so that their number is bounded and no key is left out."""
+    li = tables.lineitem(spark, d).withColumn("repetition", bucket_of(F.col("key"), 5))
+    times = li.groupBy(F.lit("a").alias("method"), F.col("part").alias("m"), "repetition", (F.col("window") - 23000).alias("window")).agg(F.count("*").cast("double").alias("ms"), (F.count("*") * 1000).alias("events"))
+    out = metrics.systems_summary(times)
+    return rounded(out, *[c for c in out.columns if c not in ("method", "m")])
+
+
 @register("phase_masses", f"""WITH {LIC}, t AS (SELECT *, CAST(sum(cnt) OVER (PARTITION BY "window") AS BIGINT) AS mass FROM c), w AS (SELECT "window", any_value(mass) AS mass, count(*) AS keys, count(*) FILTER (WHERE cnt * 100 > mass) AS heavy,
  count(*) FILTER (WHERE cnt >= (mass // 100 + 1) * 0.8 AND cnt <= mass // 100 + 1) AS near FROM t GROUP BY ALL), ph AS (SELECT *, CASE WHEN "window" < 23980 THEN 'early' ELSE 'late' END AS phase FROM w WHERE "window" BETWEEN 23950 AND 24009)
 SELECT phase, min(mass) AS mass_min, max(mass) AS mass_max, round(avg(keys), 6) AS keys_mean, round(avg(heavy), 6) AS heavy_mean, min(heavy) AS heavy_min, max(heavy) AS heavy_max, round(avg(near), 6) AS near_mean FROM ph GROUP BY ALL""")

@@ -22,3 +22,12 @@ def test_ordered_windows_keep_real_gaps(spark):
     df = spark.createDataFrame(events, "ts timestamp, event_type string")
     got = sorted(((r.window, r.key, r.cnt) for r in windows.ordered_counts(df, "ts", "event_type", 6).collect()), key=str)
     assert got == [(0, "a", 2), (0, "b", 1), (1, None, 0), (2, None, 0), (3, "a", 1), (4, None, 0), (5, None, 0), (6, None, 0), (7, "b", 1)]
+
+
+def test_systems_summary_counts_every_key(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.metrics, "systems_summary", lambda times: seen.append(times) or times)
+    times = queries.QUERIES["systems_summary_all_keys"](spark, SMALL)
+    rows = times.collect()
+    assert sum(r.ms for r in rows) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    assert {r.repetition for r in rows} <= set(range(5))
