@@ -9,9 +9,9 @@
 3. Within a candidate group, inverted lists of the n-grams answer T-occurrence
    searches: DivideSkip sets a query's longest lists aside, merges the short ones,
    and probes the long ones by binary search for what the merge found. Large groups
-   are cut into blocks, and all pairs of blocks searched. Links inside a component
-   that is already known in the task are not searched again.
-4. The links' connected components are the result.
+   are cut into blocks, and all pairs of blocks searched. Every link between
+   representatives comes out; equal texts are links by their class.
+4. The links' connected components are the components of the documents.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, lean, mix64, slices
@@ -94,8 +95,8 @@ class Parts:
         return np.concatenate(found).view(np.int64)
 
 
-def t_occurrence(sets: list[np.ndarray], percent: int, asks: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links (i, j) that connect the components of the sets: asking sets search the others, or each other where all ask."""
+def t_occurrence(sets: list[np.ndarray], percent: int, asks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """All links of the sets as (i, its j's): asking sets search the others, or each other where all ask, each pair once."""
     n = len(sets)
     both = bool(asks.all())
     size = np.array([len(s) for s in sets], np.int64)
@@ -105,7 +106,6 @@ def t_occurrence(sets: list[np.ndarray], percent: int, asks: np.ndarray) -> Iter
     owner = np.repeat(held, size[held])[order]
     grams, first = np.unique(grams[order], return_index=True)
     last = np.append(first[1:], len(owner))
-    root = np.arange(n)
     for r in np.flatnonzero(asks).tolist():
         s = sets[r]
         need = -(-percent * len(s) // 100)  # of any set that links with s
@@ -116,7 +116,7 @@ def t_occurrence(sets: list[np.ndarray], percent: int, asks: np.ndarray) -> Iter
         at = at[np.argsort(last[at] - first[at], kind="stable")]
         short = at[: len(at) - need + 1]  # one occurrence here at least
         lists = [owner[first[i] : last[i]] for i in short.tolist()]
-        lists = [x[(root[x] != root[r]) & (size[x] * 100 >= percent * len(s)) & (len(s) * 100 >= percent * size[x])] for x in lists]
+        lists = [x[(size[x] * 100 >= percent * len(s)) & (len(s) * 100 >= percent * size[x])] for x in lists]
         lists = [x[x < r] if both else x for x in lists]
         total = sum(map(len, lists))
         if not total:
@@ -135,10 +135,8 @@ def t_occurrence(sets: list[np.ndarray], percent: int, asks: np.ndarray) -> Iter
                 on = seen + len(long) - 1 - k >= need
                 found, seen = found[on], seen[on]
         ok = 100 * seen >= percent * (len(s) + size[found] - seen)
-        for j in found[ok].tolist():
-            if root[j] != root[r]:
-                root[root == root[j]] = root[r]
-                yield r, j
+        if ok.any():
+            yield r, found[ok]
 
 
 def _sets(width: int):
@@ -189,11 +187,14 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _search(width: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
         docs, asks = np.asarray(group["doc"]), np.asarray(group["asks"].combine_chunks())
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in group["grams"]]
+        grams = [x.as_py() for x in group["grams"]]
+        once = list({x: i for i, x in enumerate(zip(docs.tolist(), asks.tolist(), grams))}.values())  # rows that repeat an id
+        docs, asks, sets = docs[once], asks[once], [np.frombuffer(grams[i], np.uint64) for i in once]
         both = group["i"][0].as_py() == group["j"][0].as_py()
-        links = [*t_occurrence(sets, percent, np.ones(len(docs), bool) if both else asks)]
-        a, b = ([docs[x[k]] for x in links] for k in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        links = [(np.full(len(x), docs[r], np.int64), docs[x]) for r, x in t_occurrence(sets, percent, np.ones(len(docs), bool) if both else asks)]
+        a, b = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
+        on = a != b
+        return pa.table({"a": pa.array(np.minimum(a, b)[on]), "b": pa.array(np.maximum(a, b)[on])})
 
     return run
 
@@ -208,18 +209,15 @@ def _grams(width: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 21) -> DataFrame:
-    """id, n_shingles and component_id of each row of docs.
+@dataclass(frozen=True)
+class Join:
+    documents: DataFrame  # id, n_shingles, n_links, component_id
+    links: DataFrame  # a, b: representatives of linked classes, a < b, each pair once
+    members: DataFrame  # rep, doc: the documents of each class, of equal sets
 
-    A text's set is that of its distinct width-word n-grams, A-Z in lower case;
-    of fewer words, the whole sequence. Two texts link when 100 * intersection >=
-    percent * union; component_id is the smallest id reachable by links, itself
-    included. Null texts and texts without words have an empty set and link with
-    nothing. Ids are whole numbers that name a document: rows that repeat an id
-    should repeat its text too. Rows with a null id have a null component_id and
-    link nothing. Other columns of docs are ignored. `block` bounds the n-grams
-    that a search task holds of a side.
-    """
+
+def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets of the rows, links between classes, and the classes with their component."""
     rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
     sets = cut(rows.mapInArrow(lean(_sets(width)), "doc long, n long, lo long, hi long"))
     classes = sets.filter("n > 0 and doc is not null").groupBy("lo", "hi").agg(F.min("doc").alias("rep"), F.first("n").alias("n"))
@@ -244,10 +242,47 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     held = rows.join(members, "doc").select("doc", "text", "lo", "hi", "place")
     grams = held.mapInArrow(lean(_grams(width)), f"doc long, place {members.schema['place'].dataType.simpleString()}, grams binary")
     tasks = grams.select("doc", "grams", "place.small", "place.key", F.explode("place.pairs").alias("p")).select("doc", "grams", "small", "key", "p.i", "p.j", "p.asks")
-    links = tasks.groupBy("small", "key", "i", "j").applyInArrow(_search(width, percent), "a long, b long")
-    linked = components(links, thin=False)
+    links = cut(tasks.groupBy("small", "key", "i", "j").applyInArrow(_search(width, percent), "a long, b long"))
+    linked = components(links)
+    final = classes.join(linked.select(F.col("v").alias("rep"), "root"), "rep", "left").select("lo", "hi", "rep", F.coalesce("root", "rep").alias("component"))
+    return sets, links, final
 
-    final = classes.join(linked.select(F.col("v").alias("rep"), "root"), "rep", "left").select("lo", "hi", F.coalesce("root", "rep").alias("component"))
+
+def _component() -> Column:
+    return F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("component"))).otherwise(F.col("doc"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 21) -> DataFrame:
+    """id, n_shingles and component_id of each row of docs.
+
+    A text's set is that of its distinct width-word n-grams, A-Z in lower case;
+    of fewer words, the whole sequence. Two texts link when 100 * intersection >=
+    percent * union; component_id is the smallest id reachable by links, itself
+    included. Null texts and texts without words have an empty set and link with
+    nothing. Ids are whole numbers that name a document: rows that repeat an id
+    should repeat its text too. Rows with a null id have a null component_id and
+    link nothing. Other columns of docs are ignored. `block` bounds the n-grams
+    that a search task holds of a side.
+    """
+    sets, _, final = _linked(docs, width, percent, id_col, text_col, block)
     out = sets.join(final, ["lo", "hi"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("component"))).otherwise(F.col("doc"))
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), _component().alias("component_id"))
+
+
+def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 21) -> Join:
+    """The join behind jaccard_components: its columns with n_links, every link between classes, and their members.
+
+    Documents a and b link when they are of one class, or of two linked ones;
+    n_links counts the other documents that a document links with. Ids that
+    repeat count once.
+    """
+    sets, links, final = _linked(docs, width, percent, id_col, text_col, block)
+    named = sets.filter("n > 0 and doc is not null")
+    members = named.select("lo", "hi", "doc").distinct().join(final.select("lo", "hi", "rep"), ["lo", "hi"]).select("rep", "doc")
+    sizes = cut(members.groupBy("rep").agg(F.count("*").alias("size")))
+    ways = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select("b", "a"))
+    across = ways.join(sizes.select(F.col("rep").alias("other"), "size"), "other").groupBy("rep").agg(F.sum("size").alias("across"))
+    counted = final.join(sizes, "rep").join(across, "rep", "left").select("lo", "hi", "component", (F.col("size") - 1 + F.coalesce("across", F.lit(0))).alias("links"))
+    out = sets.join(counted, ["lo", "hi"], "left")
+    n_links = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("links")).otherwise(F.lit(0).cast("long"))
+    return Join(out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), n_links.alias("n_links"), _component().alias("component_id")), links, members)

@@ -200,6 +200,24 @@ def test_jaccard_is_brute_force(spark, width, percent, block):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, width, percent)
 
 
+@pytest.mark.parametrize("block", [1 << 21, 300])
+def test_jaccard_join_has_every_link(spark, block):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 60, 10)] * 2 + ["far away from all of it", None, ""]
+    rows = [*enumerate(texts), (3, texts[3])]  # six near copies, twice each, and a row that repeats its id
+    join = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, block=block)
+    grams = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} if (w := (t or "").split()) else set() for t in texts]
+    linked = {(a, b) for a in range(len(texts)) for b in range(len(texts)) if a != b and grams[a] and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b])}
+    assert len(linked) == 12 * 11
+    got = join.documents.collect()
+    assert {(r.doc_id, r.n_links) for r in got} == {(i, sum(a == i for a, _ in linked)) for i in range(len(texts))} and len(got) == len(rows)
+    assert {r.doc_id for r in got if r.component_id == 0} == set(range(12))
+    links, rep = [(r.a, r.b) for r in join.links.collect()], {r.doc: r.rep for r in join.members.collect()}
+    assert len(links) == len(set(links)) == 6 * 5 // 2
+    both = {*links, *((b, a) for a, b in links)}
+    assert {(a, b) for a in rep for b in rep if a != b and (rep[a] == rep[b] or (rep[a], rep[b]) in both)} == linked
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d")], "doc_id long, text string")
     assert sorted(((r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()), key=str) == [(1, 1), (None, None)]
