@@ -1,6 +1,7 @@
 """Balanced label propagation over linked documents, in DataFrame operations only.
 
-Linked documents start in shards by hash. In each round a join brings every
+Large groups of equal texts are packed into shards first. Other linked documents
+start in shards by hash. In each round a join brings every
 document its neighbours' shards; documents that gain move, as far as the quotas
 of the shards allow (flows between shards are cut down on the driver, a
 shards-by-shards matrix). Documents without links then fill the shards to equal
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rows of a rank bucket, and most members of a star of equal texts.
+#: Rows of a rank bucket, and about the most members of a star of equal texts.
 BUCKET = 20_000
 
 
@@ -95,13 +96,40 @@ def propagate(labels: DataFrame, edges: DataFrame, limits: list[int], rounds: in
     return labels
 
 
+def packed(groups: list[tuple[str, int]], limits: list[int]) -> list[tuple[str, int, int, int]]:
+    """(key, begin, end, shard) of groups (key, rows), the largest first: whole into the fullest shard that has room, else over the emptiest ones."""
+    room, out = list(limits), []
+    for key, n in sorted(groups, key=lambda g: (-g[1], g[0])):
+        begin = 0
+        while begin < n:
+            fits = [s for s in range(len(room)) if room[s] >= n - begin]
+            s = min(fits, key=lambda s: (room[s], s)) if fits else max(range(len(room)), key=lambda s: (room[s], -s))
+            take = min(n - begin, room[s])
+            out.append((key, begin, begin + take, s))
+            room[s] -= take
+            begin += take
+    return out
+
+
+def _dealt(value: Column, room: list[int]) -> Column:
+    """The shard of a hash, as often as the shard has room."""
+    at, ends = F.pmod(value, F.lit(max(1, sum(room)))), []
+    for n in room:
+        ends.append(n + (ends[-1] if ends else 0))
+    shard = F.lit(len(room) - 1)
+    for s in reversed(range(len(room) - 1)):
+        shard = F.when(at < ends[s], F.lit(s)).otherwise(shard)
+    return shard.cast("int")
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, law, shard, slot and grown_shard of each row of docs.
 
     Law "rows": the shards' row counts are at most one apart. Equal texts are
     linked (null texts with each other) and kept in one shard as far as that law
-    allows; a group of more than BUCKET rows is linked in stars of so many at
-    most, by hash of the row, which spread over the shards. size is the text's
+    allows: groups of over a sixteenth of a shard are packed first, the largest
+    ahead, whole where a shard has room and else over the fewest. Smaller groups
+    propagate, in stars of about BUCKET rows whose anchors are linked. size is the text's
     UTF-8 bytes plus 1; slots are gapless from 0 in each shard. Ids may be null or
     repeat: each row is placed by itself. Other columns of docs are ignored.
     """
@@ -116,22 +144,34 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, id_col: s
     total = base.count()
     limits = [total // shards + (s < total % shards) for s in range(shards)]
 
-    room = max(2, total // (2 * shards))  # half a shard
-    star = min(BUCKET, room)
     groups = base.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    parted = base.select("key", "vertex").join(groups, "key").withColumn("part", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("n") / star)))
+    # groups of over a sixteenth of a shard, so few that the driver packs them whole
+    large = groups.filter(F.col("n") > total // shards // 16)
+    chunks = packed([(r.key, r.n) for r in large.collect()], limits)
+    fields = ("key string", "begin long", "end long", "shard int")
+    given = F.array(*[F.struct(*[F.lit(x).cast(f.split()[1]).alias(f.split()[0]) for f, x in zip(fields, c)]) for c in chunks or [("", 0, 0, 0)]])
+    where = F.broadcast(base.sparkSession.range(1).select(F.inline(given)))
+    big = ranked(base.select("key", "vertex").join(F.broadcast(large.select("key")), "key"), "key", F.xxhash64("vertex"), ["vertex"], total, "rank")
+    pinned = big.join(where, "key").filter("rank >= begin and rank < end").select("vertex", "shard")
+    pinned = cut(ranked(pinned, "shard", F.xxhash64("vertex"), ["vertex"], total, "slot").select("vertex", "shard", "slot"))
+    taken = dict(pinned.groupBy("shard").count().collect())
+    rest = [limits[s] - taken.get(s, 0) for s in range(shards)]
+
+    # the others are linked in stars, which start where their group does
+    parted = base.select("key", "vertex").join(groups, "key").join(F.broadcast(large.select("key")), "key", "left_anti").withColumn("part", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("n") / BUCKET)))
     anchors = parted.groupBy("key", "part").agg(F.min("vertex").alias("anchor"))
-    # the stars of a group start together, as many as half a shard holds
-    home = F.xxhash64("key", F.floor(F.col("part") / (room // star)))
-    begin = F.when(F.col("vertex") == F.col("anchor"), home).otherwise(F.xxhash64("vertex"))
-    linked = cut(parted.join(anchors, ["key", "part"]).select("vertex", "anchor", F.pmod(begin, F.lit(shards)).cast("int").alias("shard")))
-    spokes = linked.filter("vertex <> anchor")
-    edges = spokes.select(F.col("anchor").alias("src"), F.col("vertex").alias("dst")).union(spokes.select("vertex", "anchor"))
-    labels = propagate(linked, edges, limits, rounds)
+    begin = F.when(F.col("vertex") == F.col("anchor"), F.xxhash64("key")).otherwise(F.xxhash64("vertex"))
+    linked = cut(parted.join(anchors, ["key", "part"]).select("vertex", "anchor", _dealt(begin, rest).alias("shard")))
+    first = parted.groupBy("key").agg(F.min("vertex").alias("first"))
+    chained = anchors.join(first, "key").filter("anchor <> first").select(F.col("first").alias("a"), F.col("anchor").alias("b"))
+    spokes = linked.filter("vertex <> anchor").select(F.col("anchor").alias("a"), F.col("vertex").alias("b")).union(chained)
+    edges = spokes.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(spokes.select("b", "a"))
+    labels = propagate(linked, edges, rest, rounds)
 
     # linked rows keep their shards up to the limits; what is over, and rows without links, fill the shards
     kept = cut(ranked(labels, "shard", F.xxhash64("anchor"), ["anchor", "vertex"], total, "slot"))
-    inside = kept.filter(F.col("slot") < _lookup(dict(enumerate(limits)), F.col("shard"))).select("vertex", "shard", "slot")
+    loose = kept.filter(F.col("slot") < _lookup(dict(enumerate(rest)), F.col("shard"))).select("vertex", "shard", (F.col("slot") + _lookup({s: taken.get(s, 0) for s in range(shards)}, F.col("shard"))).alias("slot"))
+    inside = cut(pinned.unionByName(loose))
     held = dict(inside.groupBy("shard").count().collect())
     free = base.select("vertex").join(inside.select("vertex"), "vertex", "left_anti").withColumn("all", F.lit(0))
     order = ranked(free, "all", F.xxhash64("vertex"), ["vertex"], total, "rank")

@@ -83,6 +83,15 @@ def test_sharding_law_and_groups(spark):
     assert {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
 
 
+def test_sharding_keeps_large_groups_whole(spark):
+    sizes = {"a": 130, "b": 50, "c": 48, "d": 47, "e": 30, "f": 12}  # shards of 50 rows
+    texts = [k for k, n in sizes.items() for _ in range(n)] + [f"single {i}" for i in range(83)]
+    rows = sharding.shard_documents(frame(spark, texts), 8).collect()
+    check_shards(rows, texts, 8)
+    spans = {k: len({r.shard for r in rows if r.text_crc32 == zlib.crc32(k.encode())}) for k in sizes}
+    assert spans == {"a": 3, "b": 1, "c": 1, "d": 1, "e": 1, "f": 1}
+
+
 @pytest.mark.parametrize("texts", [[], ["a"], ["a"] * 50, ["a"] * 60 + [str(i) for i in range(60)]])
 def test_sharding_extremes(spark, texts):
     check_shards(sharding.shard_documents(frame(spark, texts), 8).collect(), texts, 8)
