@@ -1,8 +1,9 @@
 """Main text of web pages by the line-block distribution.
 
 Markup is stripped to lines, one a block of the page. Lines of menus, forms,
-adverts, notices, comments and the like, told by their elements, count as empty,
-and the ends of an article are followed by empty lines. The text lengths are
+adverts, notices, comments and the like, told by their elements, count as empty.
+Of a page with article or main elements, the outermost one with the most text is
+the main text, and all its lines are kept. On other pages the text lengths are
 summed over a sliding window of lines: where the sums leave zero is a surge
 point, where they fall back to zero a dive point. Of the stretches between the
 two, the one with the most text is the main text, and all its lines are kept.
@@ -37,21 +38,38 @@ MARKS = frozenset(
 )
 
 
-def _marked(attributes: str) -> bool:
-    if not attributes:
-        return False
-    if re.search(r"\bhidden\b|display\s*:\s*none", attributes, re.I):
-        return True
-    return any(w in MARKS for m in ROLES.findall(attributes) for w in re.split(r"[^a-z0-9]+", m.strip("\"'").lower()))
+#: Words that make a class name speak of the page around it: has-sidebar, no-ads.
+STATES = frozenset("has with without no not is show shows enable enabled layout supports".split())
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, counted length, within an article) of each block of the page, in order. Empty lines part articles from the rest."""
-    out: list[tuple[str, int, bool]] = []
+def _marked(name: str, attributes: str) -> str:
+    """What marks an element as apart: "whole" (a class name is a mark, or it is hidden), "part" (a word of one), or ""."""
+    if not attributes or name in ("html", "body"):
+        return ""
+    bare = re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)
+    if re.search(r"(?:^|\s)hidden(?=[\s=/]|$)", bare, re.I) or re.search(r"display\s*:\s*none|\baria-hidden\s*=\s*[\"']?true", attributes, re.I):
+        return "whole"
+    names = [n for m in ROLES.findall(attributes) for n in m.strip("\"'").lower().split()]
+    if any(n in MARKS for n in names):
+        return "whole"
+    words = [set(re.split(r"[^a-z0-9]+", n)) for n in names]
+    return "part" if any(w & MARKS and not w & STATES for w in words) else ""
+
+
+def lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, int]], list[list]]:
+    """The page's blocks in order, and the elements that are apart by a mark.
+
+    Of a block: text, counted length, and the number from 1 of the outermost article
+    around it, or 0; empty lines part articles from the rest. Of an element: where
+    it starts, what marks it, and the length of its text. Marks of elements that
+    start at `spared` don't count.
+    """
+    out: list[tuple[str, int, int]] = []
+    marks: list[list] = []
     piece: list[str] = []
-    linked = links = article = 0
+    linked = links = article = tops = 0
     apart: list[str] = []  # open elements, from the one that marks content as apart
-    seen_article = False
+    seen_article = by_mark = False
 
     def flush() -> None:
         nonlocal linked
@@ -59,61 +77,83 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         piece.clear()
         if text:
             mostly_links = linked * 2 > len(text) and not article
-            out.append((text, 0 if mostly_links else len(text), article > 0))
+            out.append((text, 0 if mostly_links else len(text), tops if article else 0))
         linked = 0
 
     def gap(n: int) -> None:
         flush()
-        out.extend([("", 0, article > 0)] * n)
+        out.extend([("", 0, tops if article else 0)] * n)
 
     at = 0
     for m in TOKEN.finditer(page):
         if not apart and m.start() > at:
             piece.append(page[at : m.start()])
             linked += (m.start() - at) * (links > 0)
+        elif by_mark:
+            marks[-1][2] += len(page[at : m.start()].strip())
         at = m.end()
         close, name, attributes = m[2], (m[3] or "").lower(), m[4]
         if not name:
             continue
+        mark = "" if close or m.start() in spared else _marked(name, attributes)
         if apart:
-            if name in ("article", "main") and not close and not seen_article and not _marked(attributes):
+            if name in ("article", "main") and not close and not seen_article and not mark:
                 apart.clear()  # what marked it was never closed
+                by_mark = False
             else:
                 if close and name in apart:
                     while apart.pop() != name:
                         pass
+                    by_mark = by_mark and bool(apart)
                 elif not close and name == apart[0]:
                     apart.append(name)
                 continue
         if name == "a":
             links = max(0, links - 1) if close else links + 1
             continue
-        if name in ("article", "main") and not (not close and _marked(attributes)):
+        if name in ("article", "main") and not mark:
             gap(WINDOW)
             if close:
                 article = max(0, article - 1)
             else:
-                article, seen_article = article + 1, True
+                article, tops, seen_article = article + 1, tops + (not article), True
             continue
-        if not close and name not in VOID and (name in APART or name == "header" and not article or _marked(attributes)):
+        if not close and name not in VOID and (name in APART or name == "header" and not article or mark):
             if name in INLINE:
                 piece.append(" ")
             else:
                 gap(1)
             apart.append(name)
+            by_mark = bool(mark) and name not in APART
+            if by_mark:
+                marks.append([m.start(), mark, 0])
             continue
         if name not in INLINE:
             flush()
     if not apart and at < len(page):
         piece.append(page[at:])
+    elif by_mark:
+        marks[-1][2] += len(page[at:].strip())
     flush()
-    return out
+    return out, marks
 
 
 def main_text(page: str | None) -> str:
-    found = lines(page or "")
-    if any(a for _, n, a in found if n):
-        found = [x if x[2] else ("", 0, False) for x in found]
+    spared: frozenset[int] = frozenset()
+    while True:
+        found, marks = lines(page or "", spared)
+        articles: dict[int, int] = {}
+        for _, n, a in found:
+            articles[a] = articles.get(a, 0) + n
+        if any(n for a, n in articles.items() if a):
+            best = max((a for a in articles if a), key=lambda a: (articles[a], -a))
+            return "\n".join(t for t, _, a in found if a == best and t)
+        # a wrapper isn't apart: an element of most text, or of all where its name is a mark
+        here, away = sum(articles.values()), sum(n for _, _, n in marks)
+        wrappers = {at for at, mark, n in marks if n and (not here if mark == "whole" else 2 * n > here + away)}
+        if not wrappers:
+            break
+        spared |= wrappers
     length = np.array([n for _, n, _ in found], np.int64)
     if not length.any():
         return ""

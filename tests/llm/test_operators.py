@@ -295,6 +295,20 @@ def test_html(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_keeps_whole_articles():
+    apart = '<div class="ad">buy</div><aside>side</aside><form>send</form>'
+    assert html_text.main_text(f"<article><p>one</p>{apart}<p>two two</p>{apart}<p>three</p></article><p>more</p>") == "one\ntwo two\nthree"
+    assert html_text.main_text("<main><h1>Head</h1><article><p>first part</p></article><section>mid</section><article><p>second</p></article></main>") == "Head\nfirst part\nmid\nsecond"
+    assert html_text.main_text("<article>short</article><article>much longer</article>") == "much longer"
+
+
+def test_html_marks_spare_wrappers():
+    for attributes in ('class="has-sidebar"', 'class="page-promo"', 'class="sidebar"', 'class="overflow-hidden"'):
+        assert html_text.main_text(f"<body {attributes}><p>all the text</p></body>") == "all the text"
+        assert html_text.main_text(f"<body><div {attributes}><p>all the text</p></div></body>") == "all the text"
+    assert html_text.main_text('<p>the text</p><div class="cookie-bar">ok</div><div class="comments">says much more than the text</div>') == "the text"
+
+
 def test_html_without_article():
     page = "<body><div class='menu'><a>x</a></div><div id=main><h1>T</h1><p>one two three</p><p>four</p></div><div class='comments'><p>long long long long long comment</p></div></body>"
     assert html_text.main_text(page) == "T\none two three\nfour"
