@@ -482,6 +482,17 @@ def phase_masses(spark, d):
     return rounded(metrics.mass_by_phase(counts, metrics.timeline(steps).filter("phase <> 'before'"), 100), "keys_mean", "heavy_mean", "near_mean")
 
 
+@register("phase_masses_all_windows", f"""WITH {LIC}, t AS (SELECT *, CAST(sum(cnt) OVER (PARTITION BY "window") AS BIGINT) AS mass FROM c), w AS (SELECT "window", any_value(mass) AS mass, count(*) AS keys, count(*) FILTER (WHERE cnt * 100 > mass) AS heavy,
+ count(*) FILTER (WHERE cnt >= (mass // 100 + 1) * 0.8 AND cnt <= mass // 100 + 1) AS near FROM t GROUP BY ALL), ph AS (SELECT *, CASE WHEN "window" < 23950 THEN 'before' WHEN "window" < 23980 THEN 'early' ELSE 'late' END AS phase FROM w)
+SELECT phase, min(mass) AS mass_min, max(mass) AS mass_max, round(avg(keys), 6) AS keys_mean, round(avg(heavy), 6) AS heavy_mean, min(heavy) AS heavy_min, max(heavy) AS heavy_max, round(avg(near), 6) AS near_mean FROM ph GROUP BY ALL""")
+def phase_masses_all_windows(spark, d):
+    """phase_masses from the first window to the last: before, early, and late to the end of the data."""
+    counts = exact.global_counts(tables.lineitem(spark, d))
+    last = counts.agg(F.max("window")).first()[0] or 0
+    steps = spark.createDataFrame([(1, "before", 23950), (2, "early", 30), (3, "late", max(1, last + 1 - 23980))], "step int, phase string, duration int")
+    return rounded(metrics.mass_by_phase(counts, metrics.timeline(steps), 100), "keys_mean", "heavy_mean", "near_mean")
+
+
 @register("key_resolution", SS + f""", {certify_sql(60)} SELECT "window", id, est, resolution_part, id AS key FROM cert WHERE est >= threshold""")
 def key_resolution(spark, d):
     sketch = sketches.space_saving(tables.events(spark, d), 10)

@@ -31,3 +31,11 @@ def test_systems_summary_counts_every_key(spark, monkeypatch):
     rows = times.collect()
     assert sum(r.ms for r in rows) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
     assert {r.repetition for r in rows} <= set(range(5))
+
+
+def test_phases_cover_all_windows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.metrics, "mass_by_phase", lambda counts, phases, n: seen.append(queries.metrics.by_phase(counts, phases)) or counts.selectExpr("0 AS keys_mean", "0 AS heavy_mean", "0 AS near_mean"))
+    queries.QUERIES["phase_masses_all_windows"](spark, SMALL)
+    rows = seen[0].groupBy("phase").sum("cnt").collect()
+    assert sum(r[1] for r in rows) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count() and {r.phase for r in rows} == {"before", "early", "late"}
