@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from .common import lean, slices
+from .common import HashTable, lean, slices
 
 NONE = np.int32(2**31 - 1)
 #: Code points that became letters or numbers after Unicode 16, the
@@ -67,38 +67,12 @@ class Bpe:
                 if x is not None and y is not None:
                     pairs[x << 32 | y] = r
         self.pairs = pairs
-        self._build(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
+        self.ranked = HashTable(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)), NONE)
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
-        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
-        left, at = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = self.keys[at] == -1
-            self.keys[at[free]] = keys[left[free]]  # of several keys for a slot, one stays
-            won = self.keys[at] == keys[left]
-            self.values[at[won]] = values[left[won]]
-            left, at = left[~won], (at[~won] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
     def pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Rank of each pair of token ids, NONE where they don't merge or one is padding (-1)."""
-        shape = x.shape
-        keys = ((x.astype(np.int64) << 32) | (y.astype(np.int64) & 0xFFFFFFFF)).ravel()
-        out = np.full(len(keys), NONE, np.int32)
-        left = np.flatnonzero((x.ravel() >= 0) & (y.ravel() >= 0))
-        at = self._slot(keys[left])
-        while len(left):
-            got = self.keys[at]
-            hit = got == keys[left]
-            out[left[hit]] = self.values[at[hit]]
-            on = ~hit & (got != -1)
-            left, at = left[on], (at[on] + 1) & self.mask
-        return out.reshape(shape)
+        return self.ranked.get((x.astype(np.int64) << 32 | y.astype(np.int64) & 0xFFFFFFFF).ravel()).reshape(x.shape)
 
     def _merge_rows(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         n, width = len(pieces), max(map(len, pieces))

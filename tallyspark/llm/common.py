@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -84,10 +85,42 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
         yield batch.slice(start, n - start)
 
 
-def mix64(x):
+class HashTable:
+    """An open-addressing hash table from whole numbers of 0 and up; lookups take whole arrays. Other keys give `missing`."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
+        self.mask, self.shift, self.missing = (1 << bits) - 1, np.uint64(64 - bits), values.dtype.type(missing)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, missing, values.dtype)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[left[free]]  # of several keys for a slot, one stays
+            won = self.keys[at] == keys[left]
+            self.values[at[won]] = values[left[won]]
+            left, at = left[~won], (at[~won] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        got, out = self.keys[at], self.values[at]
+        other = np.flatnonzero(got != keys)
+        out[other] = self.missing
+        left = other[got[other] != -1]
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.mask
+            got, wanted = self.keys[at], keys[left]
+            out[left] = np.where(got == wanted, self.values[at], self.missing)
+            on = (got != wanted) & (got != -1)
+            left, at = left[on], at[on]
+        return out
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over a uint64 array: a bijection that scatters small integers."""
-    import numpy as np
-
     x = x.astype(np.uint64, copy=True)
     x += np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(30)

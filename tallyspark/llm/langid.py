@@ -3,14 +3,14 @@
 Per language, a suffix automaton of a bounded sample of labelled text. A text is
 parsed into phrases, each the longest match that continues in the automaton; the
 language that needs the fewest phrases, normalised by the number of symbols and
-the size of the sample (bits a symbol), wins. Texts are read whole: they are cut
-into stretches of STRETCH symbols, and all stretches of a batch walk the
-automaton together, one numpy gather a symbol.
+the size of the sample (bits a symbol), wins. Texts are read whole. All stretches
+of a batch walk the automaton together, one numpy gather a symbol; a walk goes on
+beyond its stretch until it starts a phrase where the next one does, from where on
+both are the same. The count of phrases is that of one parse from end to end.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,19 +20,20 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, slices
+from .common import HashTable, lean, slices
 
-STRETCH = 128
+STRETCH = 256
+ROOT = np.int64(1 << 32)  # states are kept with room for a symbol below
 UNDETERMINED = "und"
 
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of what is learned of a language: the documents of least seeded hash, and the leading characters of each."""
+    """Bounds of what is learned: of each language the documents of least seeded hash, as many whole ones as `chars` characters hold; `languages` at most."""
 
-    documents: int = 96
-    chars_per_document: int = 400
-    chars: int = 24_000
+    documents: int = 128
+    chars: int = 30_000
+    languages: int = 32
     seed: int = 7
 
 
@@ -51,13 +52,13 @@ def fold(text: str, letter: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """The suffix automaton of a sequence, as a dense table: next[state, symbol], 0 where there is no way on; the root is 1."""
+    """The suffix automaton of a sequence: its edges in a hash table of (state, symbol), three times the sequence at most. State 1 is the root."""
 
     def __init__(self, codes: np.ndarray):
         self.alphabet, seq = np.unique(codes, return_inverse=True)
         to, link, longest = [{}, {}], [0, 0], [0, 0]  # state 0 stays unused
         last = 1
-        for c in seq.tolist():
+        for c in (seq + 1).tolist():  # symbol 0 stands for all that the sequence lacks
             now = len(to)
             to.append({})
             longest.append(longest[last] + 1)
@@ -80,56 +81,86 @@ class Automaton:
                         p = link[p]
                     link[q] = link[now] = copy
             last = now
+        edges = np.array([(s << 32 | c, t) for s, ways in enumerate(to) for c, t in ways.items()], np.int64).reshape(-1, 2)
+        self.edges = HashTable(edges[:, 0], edges[:, 1] << 32, 0)  # keys are state << 32 | symbol
         self.size = len(seq)
-        self.width = len(self.alphabet) + 1  # symbol 0 stands for all others
-        self.next = np.zeros((len(to), self.width), np.int32)
-        for state, ways in enumerate(to):
-            for c, t in ways.items():
-                self.next[state, c + 1] = t
+        self.root = np.full(len(self.alphabet) + 1, ROOT)  # where a phrase's first symbol leads; back to the root where there is no way
+        self.root[[*to[1]]] = np.fromiter(to[1].values(), np.int64) << 32
 
     def symbols(self, cp: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.alphabet, cp), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == cp, at + 1, 0).astype(np.int32)
-
-    def phrases(self, columns: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """Phrases in each stretch; columns[i] has symbol i of the stretches, longest first, active[i] of which go so far."""
-        count = np.zeros(columns.shape[1], np.int64)
-        state = np.ones(columns.shape[1], np.int32)
-        table, root = self.next.ravel(), self.next[1]
-        for i in range(len(columns)):
-            n = active[i]
-            c = columns[i, :n]
-            to = table[state[:n] * self.width + c]
-            missed = np.flatnonzero(to == 0)
-            if len(missed):
-                again = root[c[missed]]
-                count[missed] += (state[missed] != 1).astype(np.int64) + (again == 0)  # the open phrase, and a symbol that is one by itself
-                to[missed] = np.where(again == 0, 1, again)
-            state[:n] = to
-        return count + (state != 1)
+        known = np.zeros(int(self.alphabet[-1]) + 2, np.int64)
+        known[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
+        return known[np.minimum(cp, len(known) - 1)]
+
+    def phrases(self, symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of phrases of each text, of so many symbols each, one text after another."""
+        end = np.cumsum(size)
+        parts = -(-size // STRETCH)
+        text = np.repeat(np.arange(len(size)), parts)
+        first = (np.cumsum(parts) - parts)[text]
+        begin, limit = (end - size)[text], end[text]
+        start = begin + (np.arange(len(text)) - first) * STRETCH
+        begun = np.zeros(len(symbols), bool)  # phrases, by the walk in whose stretch they begin
+        beyond, joins = np.zeros(len(text), np.int64), limit.copy()  # phrases a walk begins after its stretch; where it falls in with another
+        walk, at, state, step = np.arange(len(text)), start.copy(), np.full(len(text), ROOT), 0
+        while len(walk):
+            c = symbols[at]
+            to = self.edges.get(state | c)
+            new = (state == ROOT) | (to == 0)
+            on = np.ones(len(walk), bool)
+            if step < STRETCH:
+                begun[at[new]] = True
+            else:
+                on = ~(new & begun[at])
+                joins[walk[~on]] = at[~on]
+                beyond[walk[new & on]] += 1
+            to[new] = self.root[c[new]]
+            state, at = to, at + 1
+            on &= at < limit[walk]
+            if not on.all():
+                walk, at, state = walk[on], at[on], state[on]
+            step += 1
+        # of each text the walks that its one parse follows: the first, and those fallen in with
+        after = np.where(joins < limit, first + (joins - begin) // STRETCH, first + parts[text])
+        followed = np.ones(len(text), bool)
+        for k in np.flatnonzero(after > np.arange(len(text)) + 1).tolist():
+            if followed[k]:
+                followed[k + 1 : after[k]] = False
+        k = np.flatnonzero(followed)
+        came = np.where(k == first[k], start[k], np.concatenate([[0], joins[k[:-1]]])[: len(k)])
+        total = np.concatenate([[0], np.cumsum(begun)])
+        count = total[np.minimum(start[k] + STRETCH, limit[k])] - total[came] + beyond[k]
+        return np.bincount(text[k], weights=count, minlength=len(size)).astype(np.int64)
 
 
 def learn(docs: DataFrame, sample: Sample, id_col: str, text_col: str, lang_col: str) -> dict[str, np.ndarray]:
-    """A bounded sample of folded text of each language, from rows of known language."""
-    w = Window.partitionBy("lang").orderBy("at", "text")
-    rows = (
-        docs.filter(docs[text_col].isNotNull() & docs[lang_col].isNotNull())
-        .select(docs[lang_col].alias("lang"), F.xxhash64(F.lit(sample.seed), docs[id_col]).alias("at"), F.substring(docs[text_col], 1, sample.chars_per_document).alias("text"))
-        .withColumn("n", F.row_number().over(w))
-        .filter(F.col("n") <= sample.documents)
-        .collect()
-    )
-    return sequences([(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.n))], sample)
-
-
-def sequences(rows: list[tuple[str, str]], sample: Sample) -> dict[str, np.ndarray]:
-    """The languages' sequences. Lines that begin alike in several of the sampled texts are boilerplate of no language and go."""
-    head = lambda line: line.strip()[:24]
-    seen = Counter(h for _, t in rows for h in {head(x) for x in t.split("\n")})
+    """A bounded sample of folded text of each language, from rows of known language.
+
+    Languages are counted first, so that a bound on the seeded hash leaves about
+    twice the wanted rows of each; no task sorts more.
+    """
+    rows = docs.filter(docs[text_col].isNotNull() & docs[lang_col].isNotNull())
+    rows = rows.select(docs[lang_col].alias("lang"), F.xxhash64(F.lit(sample.seed), docs[id_col]).alias("at"), docs[text_col].alias("text"))
+    held = rows.groupBy("lang").count().limit(sample.languages + 1).collect()
+    if len(held) > sample.languages:
+        raise ValueError(f"more than {sample.languages} languages")
+    if not held:
+        return {}
+    bound = [(r.lang, min(2**63 - 1, 2**65 * sample.documents // r["count"] - 2**63)) for r in held]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bound, "lang string, most long"))  # a row a language
+    order = Window.partitionBy("lang").orderBy("at", "text")
+    few = rows.join(bounds, "lang").filter("at <= most").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample.documents)
+    fits = few.filter(F.length("text") <= sample.chars).withColumn("held", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = fits.filter(F.col("held") <= sample.chars).select("lang", "n", "text").collect()
+    return sequences([(r.lang, r.text) for r in sorted(found, key=lambda r: (r.lang, r.n))])
+
+
+def sequences(rows: list[tuple[str, str]]) -> dict[str, np.ndarray]:
+    """The languages' sequences: their texts one after another. Languages without a letter can't be told."""
     letter, out = is_letter(), {}
-    for lang, t in rows:
-        out.setdefault(lang, []).append(fold("\n".join(x for x in t.split("\n") if seen[head(x)] == 1) + " ", letter))
-    return {k: x for k, v in out.items() if letter[x := np.concatenate(v)[: sample.chars]].any()}
+    for lang, text in rows:
+        out.setdefault(lang, []).append(fold(text + " ", letter))
+    return {k: x for k, v in out.items() if letter[x := np.concatenate(v)].any()}
 
 
 def parse(texts: list[str | None], automata: dict[str, Automaton], letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,41 +169,32 @@ def parse(texts: list[str | None], automata: dict[str, Automaton], letter: np.nd
     letters = np.array([int((x != 32).sum()) for x in folded], np.int64)
     size = np.array([len(x) for x in folded], np.int64)
     flat = np.concatenate(folded) if len(folded) else np.zeros(0, np.uint32)
-    parts = -(-size // STRETCH)
-    owner = np.repeat(np.arange(len(texts)), parts)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = np.repeat(np.cumsum(size) - size, parts) + nth * STRETCH
-    length = np.minimum(STRETCH, size[owner] - nth * STRETCH)
-    order = np.argsort(-length, kind="stable")
-    owner, start, length = owner[order], start[order], length[order]
-    active = np.searchsorted(-length, -np.arange(STRETCH))
-    at = np.minimum(start + np.arange(STRETCH)[:, None], max(0, len(flat) - 1))
     bits = np.zeros((len(texts), len(automata)))
     for k, a in enumerate(automata.values()):
         if len(flat):
-            n = np.bincount(owner, weights=a.phrases(a.symbols(flat)[at], active), minlength=len(texts))
-            bits[:, k] = n * np.log2(max(2, a.size)) / np.maximum(size, 1)
+            bits[:, k] = a.phrases(a.symbols(flat), size) * np.log2(max(2, a.size)) / np.maximum(size, 1)
     return bits, letters
 
 
 def identify(docs: DataFrame, learned_from: DataFrame, sample: Sample | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: bool = False) -> DataFrame:
     """Predicts each text's language: id, lang_pred, score (0 to 1, the winner's share by softmax).
 
-    Only learned_from's texts and languages are learned from. With keep, all
-    columns of docs come back too, and columns of docs named lang_pred or score
-    are replaced. A text that is null or has no letter is "und" with score 0, as
-    is every text where nothing could be learned. Ties go to the first language
-    by name. Rows may repeat, and ids may be null.
+    Only learned_from's texts and languages are learned from, rows of null text or
+    language not; a text longer than the sample's characters is never sampled.
+    With keep, all columns of docs come back too, and columns of docs named
+    lang_pred or score are replaced. A text that is null or has no letter is "und"
+    with score 0, as is every text where nothing could be learned. Ties go to the
+    first language by name. Rows may repeat, and ids may be null. More languages
+    than the sample allows raise.
     """
     spark = docs.sparkSession
     samples = learn(learned_from, sample or Sample(), id_col, text_col, lang_col)
-    shared = spark.sparkContext.broadcast({k: samples[k] for k in sorted(samples)})  # bounded by Sample
-    built: dict[str, Automaton] = {}
+    # built once, on the driver; some 200 bytes a sampled character, so bounded by Sample
+    shared = spark.sparkContext.broadcast({k: Automaton(samples[k]) for k in sorted(samples)})
     names = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep else [id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = built or {k: Automaton(v) for k, v in shared.value.items()}
-        built.update(automata)
+        automata = shared.value
         letter, langs = is_letter(), [*automata]
         for part in slices(batches, "text", 2 << 20):
             bits, letters = parse(part.column("text").to_pylist(), automata, letter)

@@ -331,24 +331,55 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0), df).count() == 0
 
 
-def test_automaton_knows_all_substrings():
+def brute_phrases(t, s):
+    """One parse of the whole text t into the longest pieces of s; a symbol that s lacks is a piece."""
+    n = i = 0
+    while i < len(t):
+        j = i
+        while j < len(t) and t[i : j + 1] in s:
+            j += 1
+        n, i = n + 1, max(j, i + 1)
+    return n
+
+
+@pytest.mark.parametrize("stretch", [16, 256])
+def test_phrases_are_those_of_one_parse(monkeypatch, stretch):
+    """Whole texts of many stretches, periodic ones too, whose phrases meet late or never."""
+    monkeypatch.setattr(langid, "STRETCH", stretch)
     rng = random.Random(2)
-    seq = np.array([rng.choice([97, 98, 99]) for _ in range(200)], np.uint32)
+    seq = np.array([rng.choice([97, 98, 99]) for _ in range(400)], np.uint32)
     a, s = langid.Automaton(seq), "".join(map(chr, seq))
+    for k in range(12):
+        texts = ["".join(rng.choice("abcd" if k % 2 else "abc") for _ in range(rng.randint(0, 2000))) for _ in range(6)]
+        texts += ["a" * 3000, "abcab" * 500, "abca" * 700, s * 5, ""]
+        symbols = a.symbols(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32))
+        assert a.phrases(symbols, np.array([len(t) for t in texts])).tolist() == [brute_phrases(t, s) for t in texts]
 
-    def brute(t):
-        n = i = 0
-        while i < len(t):
-            j = i
-            while j < len(t) and t[i : j + 1] in s:
-                j += 1
-            n, i = n + 1, max(j, i + 1)
-        return n
-
-    for _ in range(50):
-        t = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 40)))
-        column = a.symbols(np.frombuffer(t.encode("utf-32-le"), np.uint32))[:, None]
-        assert a.phrases(column, np.ones(len(t), int)).tolist() == [brute(t)]
+
+def test_wide_alphabets_stay_small():
+    rng = np.random.default_rng(1)
+    seq = rng.integers(0x4E00, 0x9FFF, 20_000).astype(np.uint32)
+    a, s = langid.Automaton(seq), "".join(map(chr, seq))
+    assert a.edges.keys.nbytes + a.edges.values.nbytes < 300 * len(seq)
+    t = s[500:900] + "x" + s[40:60] + "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 300)))
+    assert a.phrases(a.symbols(np.frombuffer(t.encode("utf-32-le"), np.uint32)), np.array([len(t)])).tolist() == [brute_phrases(t, s)]
+
+
+def test_language_ties_and_bounds(spark):
+    rows = [(1, "abc abc", "b"), (2, "abc abc", "a"), (3, "abc abc", None), (4, None, "a"), (5, "12", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, df).collect()}
+    assert got == {1: ("a", 0.5), 2: ("a", 0.5), 3: ("a", 0.5), 4: ("und", 0.0), 5: ("und", 0.0)}
+    with pytest.raises(ValueError):
+        langid.identify(df, df, langid.Sample(languages=2))
+
+
+def test_language_sample_is_bounded(spark):
+    df = spark.createDataFrame([(i, f"word{i} " * 20, "x") for i in range(300)] + [(1000, "long " * 900, "x")], "doc_id long, text string, lang string")
+    got = langid.learn(df, langid.Sample(documents=10, chars=2000), "doc_id", "text", "lang")
+    assert 1000 < len(got["x"]) <= 2000 and ord("g") not in got["x"]
+    few = langid.learn(df, langid.Sample(documents=3, chars=9000), "doc_id", "text", "lang")
+    assert sum(few["x"] == 32) <= 3 * 21
 
 
 def test_language_accuracy(spark):
