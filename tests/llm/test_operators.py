@@ -377,9 +377,9 @@ def test_language_ties_and_bounds(spark):
 def test_language_sample_is_bounded(spark):
     df = spark.createDataFrame([(i, f"word{i} " * 20, "x") for i in range(300)] + [(1000, "long " * 900, "x")], "doc_id long, text string, lang string")
     got = langid.learn(df, langid.Sample(documents=10, chars=2000), "doc_id", "text", "lang")
-    assert 1000 < len(got["x"]) <= 2000 and ord("g") not in got["x"]
+    assert 900 < len(got["x"]) <= 2000 and ord("g") not in got["x"]
     few = langid.learn(df, langid.Sample(documents=3, chars=9000), "doc_id", "text", "lang")
-    assert sum(few["x"] == 32) <= 3 * 21
+    assert 0 < len(few["x"]) <= 3 * 101
 
 
 def test_language_accuracy(spark):
