@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -299,7 +300,8 @@ def test_html_keeps_whole_articles():
     apart = '<div class="ad">buy</div><aside>side</aside><form>send</form>'
     assert html_text.main_text(f"<article><p>one</p>{apart}<p>two two</p>{apart}<p>three</p></article><p>more</p>") == "one\ntwo two\nthree"
     assert html_text.main_text("<main><h1>Head</h1><article><p>first part</p></article><section>mid</section><article><p>second</p></article></main>") == "Head\nfirst part\nmid\nsecond"
-    assert html_text.main_text("<article>short</article><article>much longer</article>") == "much longer"
+    assert html_text.main_text("<article>one article</article><article>much longer article</article>") == "one article\nmuch longer article"
+    assert html_text.main_text("<article><h1>T</h1><figure><img src=x><figcaption>What it shows</figcaption></figure><p>text</p></article>") == "T\nWhat it shows\ntext"
 
 
 def test_html_marks_spare_wrappers():
@@ -314,6 +316,77 @@ def test_html_without_article():
     assert html_text.main_text(page) == "T\none two three\nfour"
 
 
+PROSE = " ".join(["A sentence of the article."] * 20)
+PAGES = [
+    ("<html><head><title>x</title><body><p>hello there all</p></body>", "hello there all"),
+    ("<div style='overflow:hidden'><p>hello there</p></div>", "hello there"),
+    ("<div title='hidden gems'><p>hello there</p></div>", "hello there"),
+    ("<div aria-hidden='false'><p>hello there</p></div>", "hello there"),
+    ("<p>seen</p><div hidden><p>hello there</p></div><div aria-hidden=true>x</div><div style='color:red;display: none'>y</div>", "seen"),
+    ("<article><div class='entry-header'><h1>T</h1></div><p>hello there</p></article>", "T\nhello there"),
+    (f"<body><div class='article-header'><h1>T</h1></div><div class='article-body'><p>{PROSE}</p></div></body>", f"T\n{PROSE}"),
+    (f"<div>Buy now</div><div>Offers</div><div><h1>Head</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p><p>End.</p></div><div>Copyright 2020 Corp</div>", f"Head\n{PROSE}\nShort.\n{PROSE}\nEnd."),
+    ("<p>a < b and c</p>", "a < b and c"),
+    ("<p>x</p><div class=ad>buy<div>more</div></div><p>y</p>", "x\ny"),
+    ("<ul class='menu'><li>a<li>b</ul><p>the text</p>", "the text"),
+    ("<p>t1<p class='notice'>cookie<p>t2", "t1\nt2"),
+    ("<p>text <!-- never closed <p>no", "text"),
+    ("<p class=\"it's\">one</p><p title=don't>two</p>", "one\ntwo"),
+    ("<p title=\"never closed>one</p><p>two</p>", "one\ntwo"),
+    ("<p title='a > b'>one</p></div></div><p>two</p>", "one\ntwo"),
+    ("<div class=ad><article><p>the ad was never closed</p></article>", "the ad was never closed"),
+    ("<p>x</p><svg><title>drawn</title><text>drawn</text></svg><p>y</p>", "x\ny"),
+    ("<p>line one<br>line   two &eacute;&#x41;&nbsp;</p>", "line one\nline two \u00e9A"),
+]
+
+
+@pytest.mark.parametrize("page, text", PAGES)
+def test_html_of_odd_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_html_windows_are_brute_force():
+    rng = np.random.default_rng(3)
+    for n in range(0, 40):
+        length = rng.choice([0, 0, 0, 3, 50, 400], n).astype(np.int64)
+        sums = [int(length[i : i + html_text.WINDOW].sum()) for i in range(n)]
+        assert html_text.windows(length).tolist() == sums
+        full = [x > 0 and x * html_text.SHARE >= max(sums) for x in sums]
+        inside = [any(a <= i < b for a, b in html_text.stretches(length)) for i in range(n)]
+        assert inside == full and all(b > a for a, b in html_text.stretches(length))
+
+
+@pytest.mark.parametrize("unit", ['<a "', '<a b="', "<a b='x", "<div class=ad>", "<title>", "</div>", "<p>", "<!-", "</", "<b", "<script", "<article>", "<div>"])
+def test_html_takes_linear_time(unit):
+    """A second is far over what a megabyte of a unit needs, and far under what its square would."""
+    html_text.main_text(unit * 1000)
+    start = time.process_time()
+    html_text.main_text(unit * (200_000 // len(unit)) + ">")
+    assert time.process_time() - start < 4
+
+
+def planted(rng):
+    """A page without article marks, its lines of prose, and all its lines."""
+    words = lambda a, b: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) for _ in range(rng.randint(a, b)))
+    prose = [words(8, 60) + "." for _ in range(rng.randint(5, 14))]
+    junk = [words(1, 3) for _ in range(6)]
+    around = [f"<div class='c{k}'>{x}</div>" for k, x in enumerate(junk)]
+    ads = [f"<div class='ad'>{words(5, 30)}</div>" for _ in prose]
+    body = "".join(f"<p>{x}</p>" + (ads[k] if rng.random() < 0.3 else "") for k, x in enumerate(prose))
+    menu = "".join(f"<li><a href=/{k}>{words(1, 3)}</a></li>" for k in range(9))
+    return f"<ul>{menu}</ul>{''.join(around[:3])}<div id=c><h2>The title</h2>{body}</div>{''.join(around[3:])}<div class=comments><p>{words(30, 60)}</p></div>", ["The title", *prose]
+
+
+def test_html_precision_and_recall():
+    rng, hit, said, wanted = random.Random(4), 0, 0, 0
+    for _ in range(200):
+        page, prose = planted(rng)
+        got = html_text.main_text(page).split("\n")
+        both = sum((Counter(got) & Counter(prose)).values())
+        hit, said, wanted = hit + both, said + len(got), wanted + len(prose)
+    assert hit >= 0.98 * said and hit >= 0.98 * wanted, (hit / said, hit / wanted)
+
+
 # Language ID
 
 
