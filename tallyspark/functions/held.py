@@ -11,10 +11,14 @@ def held(df: DataFrame) -> DataFrame:
     """df, computed once into the session's checkpoint folder and read from there by every branch.
 
     For bounded summaries, which a reduction reads two or three times. The folder is
-    spark.checkpoint.dir; only where that is unset a temporary one is made. Files go
-    with the last plan that reads them, where the session cleans checkpoints.
+    spark.checkpoint.dir; only a session on one machine gets one of its own where
+    that is unset. Files go with the last plan that reads them, where the session
+    cleans checkpoints.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-held-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyspark-held-"))
     return df.checkpoint(eager=True)
