@@ -1,16 +1,18 @@
 """Exact n-gram Jaccard join with T-occurrence search.
 
-1. Each text becomes its set of word n-gram hashes; texts of equal sets are one class.
+1. One pass turns each text into its set of word n-gram hashes, and that into a
+   digest and signatures. Texts of equal sets are one class; of those that one task
+   meets, the first alone keeps its signatures.
 2. Sets are cut into parts by hash. Two sets that link differ in at most h elements,
    so of h + 1 + x parts at least x + 1 agree whole; each set emits the signatures of
    its h + 1 fullest parts, and the fullest part that agrees is always among them.
    Equal signatures give candidate groups (their connected components): no link
    crosses two groups, and a signature of many texts makes a star, not all pairs.
 3. Within a candidate group, inverted lists of the n-grams answer T-occurrence
-   searches: DivideSkip sets a query's longest lists aside, merges the short ones,
-   and probes the long ones by binary search for what the merge found. Large groups
-   are cut into blocks, and all pairs of blocks searched. Every link between
-   representatives comes out; equal texts are links by their class.
+   searches: DivideSkip sets a query's longest lists aside, heap-merges the short
+   ones, and probes the long ones by binary search for what the merge found. Large
+   groups are cut into blocks, and all pairs of blocks searched. Every link between
+   classes is found and counted; equal texts are links by their class.
 4. The links' connected components are the components of the documents.
 """
 
@@ -24,11 +26,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, mix64, slices
-from .graph import components
+from .common import cut, lean, mix64, slices, written
+from .graph import components, forest
 
 MIX = np.uint64(0xD1342543DE82EF95)
 
@@ -95,6 +97,27 @@ class Parts:
         return np.concatenate(found).view(np.int64)
 
 
+#: Runs that one step of a merge takes from the heap.
+WAYS = 16
+
+
+def heap_merge(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(id, occurrences) of sorted runs of ids, in order. The heap gives the shortest runs, which are merged into one and go back."""
+    heap = [(len(x), i, x, np.ones(len(x), np.int64)) for i, x in enumerate(runs) if len(x)]
+    heapq.heapify(heap)
+    while heap:
+        some = [heapq.heappop(heap) for _ in range(min(WAYS, len(heap)))]
+        ids, counts = np.concatenate([x[2] for x in some]), np.concatenate([x[3] for x in some])
+        order = np.argsort(ids, kind="stable")  # of sorted runs, a merge
+        ids, counts = ids[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        ids, counts = ids[first], np.add.reduceat(counts, first)
+        if not heap:
+            return ids, counts
+        heapq.heappush(heap, (len(ids), some[0][1], ids, counts))
+    return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
 def t_occurrence(sets: list[np.ndarray], percent: int, asks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """All links of the sets as (i, its j's): asking sets search the others, or each other where all ask, each pair once."""
     n = len(sets)
@@ -117,21 +140,15 @@ def t_occurrence(sets: list[np.ndarray], percent: int, asks: np.ndarray) -> Iter
         short = at[: len(at) - need + 1]  # one occurrence here at least
         lists = [owner[first[i] : last[i]] for i in short.tolist()]
         lists = [x[(size[x] * 100 >= percent * len(s)) & (len(s) * 100 >= percent * size[x])] for x in lists]
-        lists = [x[x < r] if both else x for x in lists]
-        total = sum(map(len, lists))
-        if not total:
-            continue
-        if total <= 64:
-            merged = np.fromiter(heapq.merge(*(x.tolist() for x in lists if len(x))), np.int64, total)
-        else:
-            merged = np.sort(np.concatenate(lists), kind="stable")  # a merge of runs
-        found, seen = np.unique(merged, return_counts=True)
+        found, seen = heap_merge([x[x < r] if both else x for x in lists])
         long = at[len(at) - need + 1 :].tolist()
         for k, i in enumerate(long):
+            if not len(found):
+                break
             x = owner[first[i] : last[i]]
             p = np.searchsorted(x, found)
             seen = seen + (x[np.minimum(p, len(x) - 1)] == found)
-            if k % 16 == 15 and len(found):  # those that can't reach the least overlap any more
+            if k % 16 == 15:  # those that can't reach the least overlap any more
                 on = seen + len(long) - 1 - k >= need
                 found, seen = found[on], seen[on]
         ok = 100 * seen >= percent * (len(s) + size[found] - seen)
@@ -139,38 +156,36 @@ def t_occurrence(sets: list[np.ndarray], percent: int, asks: np.ndarray) -> Iter
             yield r, found[ok]
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            found = shingles(part.column("text").to_pylist(), width)
-            lo, hi = zip(*map(digest, found))
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([len(s) for s in found], pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["doc", "n", "lo", "hi"])
+#: Classes that a task remembers as met.
+MET = 1 << 20
 
-    return run
 
-
-def _signatures(width: int, percent: int):
+def _sets(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(percent)
+        parts, met = Parts(percent), set()
         for part in slices(batches, "text", 1 << 20):
-            docs, found = [], []
-            for doc, s in zip(part.column("doc").to_pylist(), shingles(part.column("text").to_pylist(), width)):
-                if len(s) and doc is not None:
-                    found.append(parts.signatures(s))
-                    docs.append(np.full(len(found[-1]), doc, np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(docs))], names=["sig", "doc"])
+            found = shingles(part.column("text").to_pylist(), width)
+            digests, signatures = [*map(digest, found)], []
+            for s, d, has_id in zip(found, digests, part.column("doc").is_valid().to_pylist()):
+                new = len(s) and has_id and d not in met
+                signatures.append(parts.signatures(s) if new else None)
+                if new:
+                    met = met if len(met) < MET else set()
+                    met.add(d)
+            lo, hi = zip(*digests)
+            cols = [part.column("row"), part.column("doc"), pa.array([len(s) for s in found], pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(signatures, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc", "n", "lo", "hi", "signatures"])
 
     return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by signature and document: each run's first document with each other of the run."""
+    """From rows sorted by signature and row: each run's first row with each other of the run."""
     sig_before = doc_before = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, doc = np.asarray(batch.column("sig")), np.asarray(batch.column("doc"))
+        sig, doc = np.asarray(batch.column("sig")), np.asarray(batch.column("row"))
         new = np.concatenate([[True], sig[1:] != sig[:-1]])
         start = doc[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
         if sig_before is not None and sig[0] == sig_before:
@@ -184,17 +199,37 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _search(width: int, percent: int):
+FOUND = "a long, b long, links long"
+
+
+def _search(percent: int, pairs: bool):
+    """Rows (a, b) of links, all with pairs, else as many as connect the same classes; and rows (a, links) of documents that a class links with."""
+
     def run(group: pa.Table) -> pa.Table:
-        docs, asks = np.asarray(group["doc"]), np.asarray(group["asks"].combine_chunks())
-        grams = [x.as_py() for x in group["grams"]]
-        once = list({x: i for i, x in enumerate(zip(docs.tolist(), asks.tolist(), grams))}.values())  # rows that repeat an id
-        docs, asks, sets = docs[once], asks[once], [np.frombuffer(grams[i], np.uint64) for i in once]
+        node, size = np.asarray(group["node"]), np.asarray(group["size"])
+        asks = np.asarray(group["asks"].combine_chunks())
+        once = np.sort(np.unique(np.stack([node, asks]), axis=1, return_index=True)[1])  # rows that repeat
+        node, size, asks = node[once], size[once], asks[once]
+        grams = group["grams"].take(pa.array(once)).to_pylist()
+        links, a, b = np.zeros(len(node), np.int64), [], []
         both = group["i"][0].as_py() == group["j"][0].as_py()
-        links = [(np.full(len(x), docs[r], np.int64), docs[x]) for r, x in t_occurrence(sets, percent, np.ones(len(docs), bool) if both else asks)]
-        a, b = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
-        on = a != b
-        return pa.table({"a": pa.array(np.minimum(a, b)[on]), "b": pa.array(np.maximum(a, b)[on])})
+        for r, found in t_occurrence([np.frombuffer(x, np.uint64) for x in grams], percent, np.ones(len(node), bool) if both else asks):
+            links[r] += size[found].sum()
+            links[found] += size[r]
+            a.append(np.full(len(found), r))
+            b.append(found)
+            if not pairs and sum(map(len, a)) > 8 * len(node) + 1024:
+                a, b = ([x] for x in forest(np.concatenate(a), np.concatenate(b)))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        if not pairs:
+            a, b = forest(a, b)
+        some = np.flatnonzero(links)
+        none = pa.nulls(len(some), pa.int64())
+        return pa.table({
+            "a": pa.concat_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(node[some])]),
+            "b": pa.concat_arrays([pa.array(np.maximum(node[a], node[b])), none]),
+            "links": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(links[some])]),
+        })
 
     return run
 
@@ -204,7 +239,7 @@ def _grams(width: int):
         for part in slices(batches, "text", 1 << 20):
             found = shingles(part.column("text").to_pylist(), width)
             same = [digest(s) == (x, y) for s, x, y in zip(found, part.column("lo").to_pylist(), part.column("hi").to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("place"), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc", "place", "grams"]).filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("place"), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "place", "grams"]).filter(pa.array(same))
 
     return run
 
@@ -212,77 +247,75 @@ def _grams(width: int):
 @dataclass(frozen=True)
 class Join:
     documents: DataFrame  # id, n_shingles, n_links, component_id
-    links: DataFrame  # a, b: representatives of linked classes, a < b, each pair once
-    members: DataFrame  # rep, doc: the documents of each class, of equal sets
+    links: DataFrame  # a, b: linked classes, a < b, each pair once
+    members: DataFrame  # class, id: the rows of each class, of equal sets
+
+
+#: Most classes whose place in the search is broadcast; more are joined by shuffle.
+BROADCAST = 1 << 17
 
 
-def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sets of the rows, links between classes, and the classes with their component."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
-    sets = cut(rows.mapInArrow(lean(_sets(width)), "doc long, n long, lo long, hi long"))
-    classes = sets.filter("n > 0 and doc is not null").groupBy("lo", "hi").agg(F.min("doc").alias("rep"), F.first("n").alias("n"))
+def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 21, most_sets: int = 1 << 13, pairs: bool = True) -> Join:
+    """The rows of docs with their links; every link between classes; and the classes' members.
 
-    marks = rows.mapInArrow(lean(_signatures(width, percent)), "sig long, doc long")
-    near = marks.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(lean(_stars), "a long, b long").distinct()
+    A text's set is that of its distinct width-word n-grams, A-Z in lower case;
+    of fewer words, the whole sequence. Two texts link when 100 * intersection >=
+    percent * union. component_id is the smallest id reachable by links, itself
+    included; n_links is the number of other rows that a row links with, whether
+    of its class (equal sets) or of a linked one. Null texts and texts without
+    words have an empty set and link with nothing. Ids may be of any type that has
+    an order; rows may repeat an id, with the same text or another, and each is a
+    row by itself. Rows with a null id have a null component_id and link nothing.
+    Other columns of docs are ignored. A search task holds `block` n-grams and
+    `most_sets` sets of a side at about most. Without pairs, links has only as many
+    as connect what is connected; n_links counts them all in either case.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc", "text")
+    sets = written(numbered.mapInArrow(lean(_sets(width, percent)), f"row long, doc {kind}, n long, lo long, hi long, signatures array<long>"), "sets")
+    met = F.when(F.col("signatures").isNotNull(), F.struct("row", "doc"))
+    classes = sets.filter("n > 0 and doc is not null").groupBy("lo", "hi").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.count("*").alias("size"), F.min(met).alias("met"))
+    classes = cut(classes.select("lo", "hi", "rep", "n", "size", F.col("met.row").alias("node"), F.col("met.doc").alias("doc")))
+
+    marks = sets.filter("signatures is not null").select(F.explode("signatures").alias("sig"), "row")
+    near = marks.repartition("sig").sortWithinPartitions("sig", "row").mapInArrow(lean(_stars), "a long, b long").distinct()
     groups = components(near)
-    grouped = groups.select(F.col("v").alias("rep"), "root").union(groups.select(F.col("root").alias("rep"), "root").distinct())
-    # classes with the group of their representative; groups of one class have nothing to search
-    placed = cut(classes.join(grouped, "rep"))
+    grouped = groups.select(F.col("v").alias("node"), "root").union(groups.select(F.col("root").alias("node"), "root").distinct())
+    placed = cut(classes.join(grouped, "node"))
+    # groups of one class have nothing to search
     totals = placed.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("grams")).filter("k > 1")
-    totals = totals.withColumn("blocks", F.ceil(F.col("grams") / block).cast("int"))
-    everything = totals.agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]
+    totals = totals.withColumn("blocks", F.greatest(F.ceil(F.col("grams") / block), F.ceil(F.col("k") / most_sets)).cast("int"))
+    everything, searched = totals.agg(F.coalesce(F.sum("grams"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
     buckets = int(everything // (block // 2)) + 1
     small = F.col("blocks") == 1
-    block_of = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     key = F.when(small, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.col("root"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "mine").alias("i"), F.greatest(x, "mine").alias("j"), (F.col("mine") <= x).alias("asks")))
-    asked = placed.join(totals.select("root", "blocks"), "root").withColumn("mine", block_of)
-    place = F.struct(small.alias("small"), key.alias("key"), pairs.alias("pairs"))
-    members = asked.select(F.col("rep").alias("doc"), "lo", "hi", place.alias("place"))
-    held = rows.join(members, "doc").select("doc", "text", "lo", "hi", "place")
-    grams = held.mapInArrow(lean(_grams(width)), f"doc long, place {members.schema['place'].dataType.simpleString()}, grams binary")
-    tasks = grams.select("doc", "grams", "place.small", "place.key", F.explode("place.pairs").alias("p")).select("doc", "grams", "small", "key", "p.i", "p.j", "p.asks")
-    links = cut(tasks.groupBy("small", "key", "i", "j").applyInArrow(_search(width, percent), "a long, b long"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "mine").alias("i"), F.greatest(x, "mine").alias("j"), (F.col("mine") <= x).alias("asks")))
+    asked = placed.join(totals.select("root", "blocks"), "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    places = asked.select("doc", "lo", "hi", "node", F.struct(small.alias("small"), key.alias("key"), "size", meets.alias("meets")).alias("place"))
+    held = rows.join(F.broadcast(places) if searched <= BROADCAST else places, "doc").select("text", "lo", "hi", "node", "place")
+    grams = held.mapInArrow(lean(_grams(width)), f"node long, place {places.schema['place'].dataType.simpleString()}, grams binary")
+    tasks = grams.select("node", "grams", "place.small", "place.key", "place.size", F.explode("place.meets").alias("p")).select("node", "grams", "size", "small", "key", "p.i", "p.j", "p.asks")
+    found = cut(tasks.groupBy("small", "key", "i", "j").applyInArrow(_search(percent, pairs), FOUND))
+
+    links = found.filter("b is not null").select("a", "b")
+    across = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("across"))
     linked = components(links)
-    final = classes.join(linked.select(F.col("v").alias("rep"), "root"), "rep", "left").select("lo", "hi", "rep", F.coalesce("root", "rep").alias("component"))
-    return sets, links, final
-
-
-def _component() -> Column:
-    return F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("component"))).otherwise(F.col("doc"))
-
-
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 21) -> DataFrame:
-    """id, n_shingles and component_id of each row of docs.
-
-    A text's set is that of its distinct width-word n-grams, A-Z in lower case;
-    of fewer words, the whole sequence. Two texts link when 100 * intersection >=
-    percent * union; component_id is the smallest id reachable by links, itself
-    included. Null texts and texts without words have an empty set and link with
-    nothing. Ids are whole numbers that name a document: rows that repeat an id
-    should repeat its text too. Rows with a null id have a null component_id and
-    link nothing. Other columns of docs are ignored. `block` bounds the n-grams
-    that a search task holds of a side.
-    """
-    sets, _, final = _linked(docs, width, percent, id_col, text_col, block)
-    out = sets.join(final, ["lo", "hi"], "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), _component().alias("component_id"))
-
-
-def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 21) -> Join:
-    """The join behind jaccard_components: its columns with n_links, every link between classes, and their members.
-
-    Documents a and b link when they are of one class, or of two linked ones;
-    n_links counts the other documents that a document links with. Ids that
-    repeat count once.
-    """
-    sets, links, final = _linked(docs, width, percent, id_col, text_col, block)
-    named = sets.filter("n > 0 and doc is not null")
-    members = named.select("lo", "hi", "doc").distinct().join(final.select("lo", "hi", "rep"), ["lo", "hi"]).select("rep", "doc")
-    sizes = cut(members.groupBy("rep").agg(F.count("*").alias("size")))
-    ways = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select("b", "a"))
-    across = ways.join(sizes.select(F.col("rep").alias("other"), "size"), "other").groupBy("rep").agg(F.sum("size").alias("across"))
-    counted = final.join(sizes, "rep").join(across, "rep", "left").select("lo", "hi", "component", (F.col("size") - 1 + F.coalesce("across", F.lit(0))).alias("links"))
-    out = sets.join(counted, ["lo", "hi"], "left")
-    n_links = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("links")).otherwise(F.lit(0).cast("long"))
-    return Join(out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), n_links.alias("n_links"), _component().alias("component_id")), links, members)
+    rooted = linked.select(F.col("v").alias("node"), "root").union(linked.select(F.col("root").alias("node"), "root").distinct())
+    member = classes.join(rooted, "node")
+    least = member.groupBy("root").agg(F.min("rep").alias("least"))
+    linked_classes = member.join(least, "root").select("node", "least")
+    final = classes.join(linked_classes, "node", "left").join(across, "node", "left")
+    # a row alone in its class and without links is its own component
+    final = final.filter("size > 1 or least is not null").select("lo", "hi", F.coalesce("least", "rep").alias("least"), (F.col("size") - 1 + F.coalesce("across", F.lit(0))).alias("links"))
+    plain = sets.select("doc", "n", "lo", "hi")
+    live = F.col("doc").isNotNull() & (F.col("n") > 0)
+    out = plain.join(final, ["lo", "hi"], "left")
+    out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(live, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(live, F.coalesce("least", "doc")).otherwise(F.col("doc")).alias("component_id"))
+    members = plain.filter(live).join(classes.select("lo", "hi", "node"), ["lo", "hi"]).select(F.col("node").alias("class"), F.col("doc").alias(id_col))
+    return Join(out, links, members)
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 21, most_sets: int = 1 << 13) -> DataFrame:
+    """id, n_shingles, n_links and component_id of each row of docs: see jaccard_join."""
+    return jaccard_join(docs, width, percent, id_col, text_col, block, most_sets, pairs=False).documents

@@ -125,9 +125,10 @@ s AS (
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
-r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
-SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+k AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(any_value(k.n_links), 0) AS n_links, min(r.y) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.x = d.doc_id LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id
 """
 
 ORACLE_SQL: dict[str, str] = {"op4_exact_top_k": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op10_line_dedup": OP10_SQL}

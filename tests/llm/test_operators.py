@@ -171,11 +171,12 @@ def test_top_k_of_huge_components(spark):
 
 
 def brute_components(rows, width, percent):
+    """(id, set size, links, component) of each row, by comparing all pairs of rows."""
     sets = []
     for _, t in rows:
         w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
         sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
-    up = list(range(len(rows)))
+    up, links = list(range(len(rows))), Counter()
 
     def root(x):
         while up[x] != x:
@@ -184,17 +185,18 @@ def brute_components(rows, width, percent):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+            if rows[i][0] is not None and rows[j][0] is not None and a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 up[root(i)] = root(j)
+                links.update((i, j))
     least = {}
     for i, (d, _) in enumerate(rows):
-        least[root(i)] = min(d, least.get(root(i), d))
-    return Counter((d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows))
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return Counter((d, len(sets[i]), links[i], least.get(root(i))) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("width, percent, block", [(3, 90, 1 << 21), (5, 80, 1 << 21), (3, 90, 300)])
-def test_jaccard_is_brute_force(spark, width, percent, block):
-    rng = random.Random(width)
+def near_copies(seed):
+    rng = random.Random(seed)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(n)] for n in (4, 12, 40, 150)]
     texts = [None, "", " ", "one", "ONE", "two words", "Two words", LONG]
     for b in base:
@@ -203,31 +205,68 @@ def test_jaccard_is_brute_force(spark, width, percent, block):
             for _ in range(rng.randint(0, max(1, len(b) // 20))):
                 c[rng.randrange(len(c))] = rng.choice(["new", "W9", "zz"])
             texts.append(" ".join(c))
+    return texts
+
+
+@pytest.mark.parametrize("width, percent, block, most", [(3, 90, 1 << 21, 1 << 13), (5, 80, 1 << 21, 1 << 13), (3, 90, 300, 1 << 13), (3, 80, 1 << 21, 3)])
+def test_jaccard_is_brute_force(spark, width, percent, block, most):
+    texts = near_copies(width)
     rows = list(enumerate(texts))
-    rows.append(rows[10])
+    rows += [rows[10], (10, texts[40]), (11, "another text of this id"), (None, texts[12])]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n int")
-    got = jaccard.jaccard_components(df, width, percent, block=block).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, width, percent)
+    got = jaccard.jaccard_components(df, width, percent, block=block, most_sets=most).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in got) == brute_components(rows, width, percent)
+
+
+def test_jaccard_takes_ids_of_text_and_shuffles_many(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST", 0)
+    rows = [(f"d{i:03}", t) for i, t in enumerate(near_copies(7))]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = jaccard.jaccard_components(df, 3, 80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in got) == brute_components(rows, 3, 80)
 
 
 @pytest.mark.parametrize("block", [1 << 21, 300])
 def test_jaccard_join_has_every_link(spark, block):
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 60, 10)] * 2 + ["far away from all of it", None, ""]
-    rows = [*enumerate(texts), (3, texts[3])]  # six near copies, twice each, and a row that repeats its id
+    rows = [*enumerate(texts)]  # six near copies, twice each
     join = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, block=block)
     grams = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} if (w := (t or "").split()) else set() for t in texts]
     linked = {(a, b) for a in range(len(texts)) for b in range(len(texts)) if a != b and grams[a] and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b])}
     assert len(linked) == 12 * 11
-    got = join.documents.collect()
-    assert {(r.doc_id, r.n_links) for r in got} == {(i, sum(a == i for a, _ in linked)) for i in range(len(texts))} and len(got) == len(rows)
-    assert {r.doc_id for r in got if r.component_id == 0} == set(range(12))
-    links, rep = [(r.a, r.b) for r in join.links.collect()], {r.doc: r.rep for r in join.members.collect()}
+    assert {(r.doc_id, r.n_links) for r in join.documents.collect()} == {(i, sum(a == i for a, _ in linked)) for i in range(len(texts))}
+    links, rep = [(r.a, r.b) for r in join.links.collect()], {r.doc_id: r["class"] for r in join.members.collect()}
     assert len(links) == len(set(links)) == 6 * 5 // 2
     both = {*links, *((b, a) for a, b in links)}
     assert {(a, b) for a in rep for b in rep if a != b and (rep[a] == rep[b] or (rep[a], rep[b]) in both)} == linked
 
 
+def test_copies_of_a_task_emit_signatures_once(spark):
+    df = spark.createDataFrame([(i, "the same words again and again " * 3) for i in range(400)], "doc_id long, text string").coalesce(2)
+    rows = df.selectExpr("doc_id AS row", "doc_id AS doc", "text").mapInArrow(jaccard._sets(3, 90), "row long, doc long, n long, lo long, hi long, signatures array<long>")
+    assert rows.filter("signatures is not null").count() <= 2 and rows.count() == 400
+
+
+def test_heap_merge():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        runs = [np.unique(rng.integers(0, 60, rng.integers(0, 30))) for _ in range(rng.integers(0, 70))]
+        want = Counter(x for r in runs for x in r.tolist())
+        ids, counts = jaccard.heap_merge(runs)
+        assert ids.tolist() == sorted(want) and dict(zip(ids.tolist(), counts.tolist())) == want
+
+
+def test_many_near_copies_take_little_time():
+    """A group of 2,000 near copies: every pair is found, and the time is far under that of rewriting roots."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**62, 20, dtype=np.uint64)
+    sets = [np.unique(np.append(base, rng.integers(0, 2**62, 1, dtype=np.uint64))) for _ in range(2000)]
+    start = time.process_time()
+    assert sum(len(x) for _, x in jaccard.t_occurrence(sets, 90, np.ones(2000, bool))) == 2000 * 1999 // 2
+    assert time.process_time() - start < 20
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d")], "doc_id long, text string")
     assert sorted(((r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()), key=str) == [(1, 1), (None, None)]
