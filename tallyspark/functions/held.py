@@ -1,24 +1,33 @@
-"""Results that several branches of a plan read."""
+"""Results that several branches of a plan read, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df, computed once into the session's checkpoint folder and read from there by every branch.
-
-    For bounded summaries, which a reduction reads two or three times. The folder is
-    spark.checkpoint.dir; only a session on one machine gets one of its own where
-    that is unset. Files go with the last plan that reads them, where the session
-    cleans checkpoints.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Only a session on one machine gets one of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyspark-held-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyspark-"))
+    return sc.getCheckpointDir()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df, computed once into the shared folder and read from there by every branch; a lost executor does not lose it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
