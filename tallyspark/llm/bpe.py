@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from .common import HashTable, lean, slices
+from .common import HashTable, lean, slices, with_columns
 
 NONE = np.int32(2**31 - 1)
 #: Code points that became letters or numbers after Unicode 16, the
@@ -194,8 +194,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     text is an empty one: no ids. Ids may be null or repeat; other columns of docs
     are ignored. `path` names a rank file that is installed on every node.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    schema = with_columns({id_col: docs.schema[id_col].dataType}, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)

@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 from .bpe import Bpe, load
-from .common import lean, slices
+from .common import lean, slices, with_columns
 
 RESERVED = ("<turn>", "</turn>", "### System:", "### User:", "### Assistant:", "### Role:", "### Text:")
 OPEN, CLOSE, ROLE, TEXT = 0, 1, 5, 6
@@ -87,7 +87,7 @@ def format_turns(rows: DataFrame, path: str, pattern: str, loss_roles: tuple[str
     may be any string. Other columns of rows are ignored.
     """
     conv, turn, role, text = columns
-    schema = f"conv_id {rows.schema[conv].dataType.simpleString()}, turn {rows.schema[turn].dataType.simpleString()}, ids array<int>, mask array<boolean>"
+    schema = with_columns({"conv_id": rows.schema[conv].dataType, "turn": rows.schema[turn].dataType}, "ids array<int>, mask array<boolean>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
@@ -137,5 +137,5 @@ def read_back(turns: DataFrame, path: str, pattern: str) -> DataFrame:
         if held:
             yield rows([held])
 
-    schema = f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    schema = with_columns({"conv_id": turns.schema["conv_id"].dataType}, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ids").mapInArrow(lean(run), schema)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType, StructField, StructType
+
+from ..functions.held import held as cut
+from ..functions.held import scratch, shared_folder  # noqa: F401
 
 #: ASCII white space that separates words: \x20 and \x09 to \x0D.
 ASCII_WS = " \t\n\x0b\x0c\r"
@@ -20,32 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir. Only a session on one machine gets one of its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyspark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from the shared checkpoint folder; a lost executor does not lose it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the application ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once into a table in the shared folder, so that each reader reads its columns only."""
     path = scratch(df.sparkSession, name)
@@ -53,6 +29,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_columns(named: dict[str, DataType], rest: str) -> StructType:
+    """A schema of columns of any name and type, followed by those of a DDL string."""
+    return StructType([StructField(n, t) for n, t in named.items()] + (StructType.fromDDL(rest).fields if rest else []))
+
+
 #: Most bytes of an Arrow batch on its way to Python: texts may be long.
 BATCH_BYTES = 8 << 20
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from .common import lean, slices
+from .common import lean, slices, with_columns
 
 #: Lines of a window, and the part of the largest window's text that makes one full.
 WINDOW, SHARE = 3, 8
@@ -318,7 +318,7 @@ def extract_text(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url")
     markup may be unclosed or cut off. Ids may be null or repeat, and other
     columns of pages are ignored.
     """
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in id_cols) + ", text string, n_chars long"
+    schema = with_columns({c: pages.schema[c].dataType for c in id_cols}, "text string, n_chars long")
     keys = [f"k{i}" for i in range(len(id_cols))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HashTable, lean, slices
+from .common import HashTable, lean, slices, with_columns
 
 STRETCH = 256
 ROOT = np.int64(1 << 32)  # states are kept with room for a symbol below
@@ -209,5 +209,5 @@ def identify(docs: DataFrame, learned_from: DataFrame, sample: Sample | None = N
             yield pa.RecordBatch.from_arrays(cols, names=["row", "lang_pred", "score"])
 
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].alias("text"))
-    out = rows.mapInArrow(lean(run), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    out = rows.mapInArrow(lean(run), with_columns({"row": rows.schema["row"].dataType}, "lang_pred string, score double"))
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "lang_pred", "score")

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from .common import ASCII_WS, lean, mix64, slices
+from .common import ASCII_WS, lean, mix64, slices, with_columns
 
 SYMBOLS = b"#*$%&|<>"
 BASE = np.uint64(0xD1342543DE82EF95)  # odd, so that powers of it stay invertible mod 2**64
@@ -129,8 +129,8 @@ def repetition_quality(docs: DataFrame, rules: QualityRules | None = None, id_co
     rules = rules or QualityRules()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     shares = [f"dup_{n}gram_share" for n in sorted(rules.ngram_share)] + ["dup_line_share"]
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, " + ", ".join(f"{x} long" for x in names) + ", base_failed boolean, kept boolean, " + ", ".join(f"`{x}` double" for x in shares)
+    schema = ", ".join(f"{x} long" for x in names) + ", base_failed boolean, kept boolean, " + ", ".join(f"`{x}` double" for x in shares)
+    schema = with_columns({id_col: docs.schema[id_col].dataType}, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
