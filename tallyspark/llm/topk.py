@@ -7,7 +7,9 @@ remaining norms (their remaining mass), and a candidate whose bound is below the
 query's k-th best score so far leaves. Survivors are compacted to pairs.
 
 Queries reach the tasks in waves of bounded size (wave_bytes), each of which
-passes over all candidates; a task keeps the k best of each query of the wave.
+passes over all candidates; a task keeps the k best of each query of the wave. A
+wave's results are written and its broadcast is gone before the next one begins,
+so memory does not depend on the number of waves.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import cut, lean
 
 DIMENSIONS, CANDIDATES, QUERIES = 16, 8192, 256
 LEAST, MOST = -(2**63), 2**63 - 1
@@ -81,11 +83,19 @@ class Search:
         self._merge(i[other] + tile.start, ids[j[other]], score[other].astype(np.int64))
 
     def _add_large(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """As add, with Python's integers, for products that doubles don't hold; scores end at the range of long."""
-        whole = [[*map(int, v)] for v in vectors.tolist()]
-        for i, x in enumerate([*map(int, v)] for v in self.q.tolist()):
-            at = np.flatnonzero(ids != self.ids[i])
-            score = [max(LEAST, min(MOST, sum(a * b for a, b in zip(x, whole[j])))) for j in at.tolist()]
+        """As add, for products that doubles don't hold: doubles bound them, and Python's integers decide. Scores end at the range of long."""
+        norm = np.sqrt(np.square(vectors).sum(axis=1))
+        columns = np.ascontiguousarray(vectors.T)
+        for i, q in enumerate(self.q):
+            about = q @ columns
+            error = (vectors.shape[1] + 8) * 2.0**-52 * math.sqrt(float(np.square(q).sum())) * norm
+            upper, lower = about + error, about - error
+            least = self.least[i]
+            if not least > -np.inf and len(ids) > self.k:  # no k-th best yet: k of these reach the k-th largest lower bound, less one for the query itself
+                least = min(float(MOST), np.partition(lower, -self.k - 1)[-self.k - 1])
+            at = np.flatnonzero((upper >= min(least, float(MOST))) & (ids != self.ids[i]))
+            x = [*map(int, q.tolist())]
+            score = [max(LEAST, min(MOST, sum(a * int(b) for a, b in zip(x, v)))) for v in vectors[at].tolist()]
             self._merge(np.full(len(at), i), ids[at], np.array(score, np.int64))
 
     def _merge(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
@@ -105,10 +115,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
 
     Components are floor(scale * x). Candidates are all rows but those of the
     query's own id; ties go to the smaller id; fewer than k candidates all come.
-    Rows whose id is null, or whose vector is null or holds null or non-finite
-    components, take no part; a query meets candidates of its own width only.
-    Rows that repeat are candidates each, and one query. Scores beyond the range
-    of long end at its bounds.
+    Ids are whole numbers. Rows whose id is null, or whose vector is null or holds
+    null or non-finite components, take no part; a query meets candidates of its
+    own width only. Rows that repeat are candidates each, and one query. Scores
+    beyond the range of long end at its bounds.
     """
     spark = vectors.sparkSession
     x = vectors[vector_col]
@@ -117,19 +127,30 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     queries = rows.filter("asks").select("id", "v")
     n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     waves = max(1, math.ceil(n * 8 * max(1, width) * 2 / wave_bytes))
-    found = None
+    schema, found = "query_id long, vec_id long, score long", None
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     for wave in range(waves):
-        part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(waves)) == wave).dropDuplicates(["id"]).collect()  # about half of wave_bytes
-        groups: dict[int, tuple[list, list]] = {}
-        for r in sorted(part, key=lambda r: r.id):
-            ids, vs = groups.setdefault(len(r.v), ([], []))
-            ids.append(r.id)
-            vs.append(r.v)
-        packed = {w: (np.array(ids, np.int64), np.floor(np.array(vs, np.float64).reshape(len(ids), w) * scale)) for w, (ids, vs) in groups.items()}
-        one = rows.select("id", "v").mapInArrow(lean(_search(spark.sparkContext.broadcast(packed), k, scale)), "query_id long, vec_id long, score long")
+        part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(waves)) == wave).dropDuplicates(["id"]).toArrow()  # about half of wave_bytes
+        shared = spark.sparkContext.broadcast(_packed(part, scale))
+        one = rows.select("id", "v").mapInArrow(lean(_search(shared, k, scale)), schema)
+        one = one.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        if waves > 1:
+            one = cut(one)
+            shared.destroy()
         found = one if found is None else found.union(one)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _packed(queries: pa.Table, scale: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the queries of each width, by id."""
+    queries = queries.sort_by("id").combine_chunks()
+    sizes = np.asarray(pa.compute.list_value_length(queries["v"])).astype(np.int64)
+    out = {}
+    for w in np.unique(sizes).tolist():
+        some = queries.filter(pa.array(sizes == w))
+        ids, v = np.asarray(some["id"]), some["v"].combine_chunks()
+        out[w] = (ids, _integers(v, scale) if w else np.zeros((len(ids), 0)))
+    return out
 
 
 def _search(shared, k: int, scale: int):
