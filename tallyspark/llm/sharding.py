@@ -158,7 +158,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, id_col: s
     rest = [limits[s] - taken.get(s, 0) for s in range(shards)]
 
     # the others are linked in stars, which start where their group does
-    parted = base.select("key", "vertex").join(groups, "key").join(F.broadcast(large.select("key")), "key", "left_anti").withColumn("part", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("n") / BUCKET)))
+    small = base.select("key", "vertex").join(F.broadcast(large.select("key")), "key", "left_anti")  # no key of more than a sixteenth of a shard is shuffled
+    parted = small.join(groups, "key").withColumn("part", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("n") / BUCKET)))
     anchors = parted.groupBy("key", "part").agg(F.min("vertex").alias("anchor"))
     begin = F.when(F.col("vertex") == F.col("anchor"), F.xxhash64("key")).otherwise(F.xxhash64("vertex"))
     linked = cut(parted.join(anchors, ["key", "part"]).select("vertex", "anchor", _dealt(begin, rest).alias("shard")))
