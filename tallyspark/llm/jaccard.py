@@ -26,10 +26,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import cut, lean, mix64, slices, written
+from .common import cut, lean, mix64, slices, with_columns, written
 from .graph import components, forest
 
 MIX = np.uint64(0xD1342543DE82EF95)
@@ -173,8 +174,8 @@ def _sets(width: int, percent: int):
                     met = met if len(met) < MET else set()
                     met.add(d)
             lo, hi = zip(*digests)
-            cols = [part.column("row"), part.column("doc"), pa.array([len(s) for s in found], pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(signatures, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc", "n", "lo", "hi", "signatures"])
+            cols = [part.column("row"), part.column("doc"), part.column("carry"), pa.array([len(s) for s in found], pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(signatures, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc", "carry", "n", "lo", "hi", "signatures"])
 
     return run
 
@@ -246,7 +247,7 @@ def _grams(width: int):
 
 @dataclass(frozen=True)
 class Join:
-    documents: DataFrame  # id, n_shingles, n_links, component_id
+    documents: DataFrame  # id, n_shingles, n_links, component_id, component_row (one number a component), carry
     links: DataFrame  # a, b: linked classes, a < b, each pair once
     members: DataFrame  # class, id: the rows of each class, of equal sets
 
@@ -255,7 +256,7 @@ class Join:
 BROADCAST = 1 << 17
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 21, most_sets: int = 1 << 13, pairs: bool = True) -> Join:
+def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 21, most_sets: int = 1 << 13, pairs: bool = True, carry: Column | None = None) -> Join:
     """The rows of docs with their links; every link between classes; and the classes' members.
 
     A text's set is that of its distinct width-word n-grams, A-Z in lower case;
@@ -268,12 +269,12 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     row by itself. Rows with a null id have a null component_id and link nothing.
     Other columns of docs are ignored. A search task holds `block` n-grams and
     `most_sets` sets of a side at about most. Without pairs, links has only as many
-    as connect what is connected; n_links counts them all in either case.
+    as connect what is connected; n_links counts them all in either case. `carry`
+    comes back with its row.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc", "text")
-    sets = written(numbered.mapInArrow(lean(_sets(width, percent)), f"row long, doc {kind}, n long, lo long, hi long, signatures array<long>"), "sets")
+    rows = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"), (F.lit(None).cast("int") if carry is None else carry).alias("carry"))
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    sets = written(numbered.mapInArrow(lean(_sets(width, percent)), with_columns({"row": LongType(), "doc": rows.schema["doc"].dataType, "carry": rows.schema["carry"].dataType}, "n long, lo long, hi long, signatures array<long>")), "sets")
     met = F.when(F.col("signatures").isNotNull(), F.struct("row", "doc"))
     classes = sets.filter("n > 0 and doc is not null").groupBy("lo", "hi").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.count("*").alias("size"), F.min(met).alias("met"))
     classes = cut(classes.select("lo", "hi", "rep", "n", "size", F.col("met.row").alias("node"), F.col("met.doc").alias("doc")))
@@ -294,7 +295,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     asked = placed.join(totals.select("root", "blocks"), "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     places = asked.select("doc", "lo", "hi", "node", F.struct(small.alias("small"), key.alias("key"), "size", meets.alias("meets")).alias("place"))
     held = rows.join(F.broadcast(places) if searched <= BROADCAST else places, "doc").select("text", "lo", "hi", "node", "place")
-    grams = held.mapInArrow(lean(_grams(width)), f"node long, place {places.schema['place'].dataType.simpleString()}, grams binary")
+    grams = held.mapInArrow(lean(_grams(width)), with_columns({"node": LongType(), "place": places.schema["place"].dataType}, "grams binary"))
     tasks = grams.select("node", "grams", "place.small", "place.key", "place.size", F.explode("place.meets").alias("p")).select("node", "grams", "size", "small", "key", "p.i", "p.j", "p.asks")
     found = cut(tasks.groupBy("small", "key", "i", "j").applyInArrow(_search(percent, pairs), FOUND))
 
@@ -304,18 +305,21 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     rooted = linked.select(F.col("v").alias("node"), "root").union(linked.select(F.col("root").alias("node"), "root").distinct())
     member = classes.join(rooted, "node")
     least = member.groupBy("root").agg(F.min("rep").alias("least"))
-    linked_classes = member.join(least, "root").select("node", "least")
+    linked_classes = member.join(least, "root").select("node", "least", "root")
     final = classes.join(linked_classes, "node", "left").join(across, "node", "left")
     # a row alone in its class and without links is its own component
-    final = final.filter("size > 1 or least is not null").select("lo", "hi", F.coalesce("least", "rep").alias("least"), (F.col("size") - 1 + F.coalesce("across", F.lit(0))).alias("links"))
-    plain = sets.select("doc", "n", "lo", "hi")
+    final = final.filter("size > 1 or least is not null").select("lo", "hi", F.coalesce("least", "rep").alias("least"), F.coalesce("root", "node").alias("root"), (F.col("size") - 1 + F.coalesce("across", F.lit(0))).alias("links"))
+    plain = sets.select("row", "doc", "carry", "n", "lo", "hi")
     live = F.col("doc").isNotNull() & (F.col("n") > 0)
     out = plain.join(final, ["lo", "hi"], "left")
-    out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(live, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(live, F.coalesce("least", "doc")).otherwise(F.col("doc")).alias("component_id"))
+    out = out.select(
+        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(live, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.when(live, F.coalesce("least", "doc")).otherwise(F.col("doc")).alias("component_id"), F.when(live, F.coalesce("root", "row")).otherwise(F.col("row")).alias("component_row"), "carry",
+    )
     members = plain.filter(live).join(classes.select("lo", "hi", "node"), ["lo", "hi"]).select(F.col("node").alias("class"), F.col("doc").alias(id_col))
     return Join(out, links, members)
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 21, most_sets: int = 1 << 13) -> DataFrame:
     """id, n_shingles, n_links and component_id of each row of docs: see jaccard_join."""
-    return jaccard_join(docs, width, percent, id_col, text_col, block, most_sets, pairs=False).documents
+    return jaccard_join(docs, width, percent, id_col, text_col, block, most_sets, pairs=False).documents.drop("component_row", "carry")
