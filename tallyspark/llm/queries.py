@@ -96,6 +96,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Lower case of A-Z only, and trimming of ASCII white space only, in DuckDB.
 _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM w, (SELECT unnest([3, 5, 8, 10]) AS n) WHERE len(w) >= n),
+d AS (SELECT doc_id, n, i FROM (SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, array_to_string(w[i:i + n - 1], ' ')) AS c FROM g) WHERE c > 1),
+v AS (SELECT DISTINCT doc_id, n, i + unnest(range(0, n)) AS i FROM d),
+c AS (SELECT doc_id, count(*) FILTER (WHERE n = 8) AS n_repeat_words, sum(length(word)) FILTER (WHERE n = 3) AS c3, sum(length(word)) FILTER (WHERE n = 5) AS c5,
+             sum(length(word)) FILTER (WHERE n = 8) AS c8, sum(length(word)) FILTER (WHERE n = 10) AS c10 FROM v JOIN p USING (doc_id, i) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+f AS (SELECT doc_id, line, count(*) AS k, length(line) AS chars FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+n AS (SELECT doc_id, sum(k - 1) AS n_dup_lines, sum((k - 1) * chars) AS dup_chars, sum(k * chars) AS line_chars FROM f GROUP BY doc_id),
+t AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM w),
+m AS (SELECT t.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+             coalesce(c3, 0) / greatest(word_chars, 1) AS s3, coalesce(c5, 0) / greatest(word_chars, 1) AS s5, coalesce(c8, 0) / greatest(word_chars, 1) AS s8, coalesce(c10, 0) / greatest(word_chars, 1) AS s10,
+             coalesce(dup_chars, 0) / greatest(coalesce(line_chars, 0), 1) AS sl FROM t LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND s3 <= 0.60 AND s5 <= 0.45 AND s8 <= 0.42 AND s10 <= 0.40 AND sl <= 0.30 AS kept,
+       s3 AS dup_3gram_share, s5 AS dup_5gram_share, s8 AS dup_8gram_share, s10 AS dup_10gram_share, sl AS dup_line_share FROM b
+"""
+
 OP10_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
@@ -131,4 +152,4 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(any_value(k
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.x = d.doc_id LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_top_k": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op10_line_dedup": OP10_SQL}

@@ -93,6 +93,22 @@ def test_sharding_keeps_large_groups_whole(spark):
     assert spans == {"a": 3, "b": 1, "c": 1, "d": 1, "e": 1, "f": 1}
 
 
+def test_sharding_cuts_few_links(spark, monkeypatch):
+    """Links that end in two shards, by counting pairs of equal texts: groups up to a shard stay whole, stars of small ones too."""
+    monkeypatch.setattr(sharding, "BUCKET", 8)  # groups become several stars
+    rng = random.Random(1)
+    texts = [f"g{k}" for k, n in enumerate([3, 5, 9, 17, 30, 41] * 4) for _ in range(n)] + [f"single {i}" for i in range(580)]
+    rng.shuffle(texts)
+    rows = sharding.shard_documents(frame(spark, texts), 8).collect()
+    check_shards(rows, texts, 8)
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.text_crc32, []).append(r.shard)
+    pairs = sum(len(x) * (len(x) - 1) // 2 for x in groups.values())
+    cut = sum(a != b for x in groups.values() for i, a in enumerate(x) for b in x[:i])
+    assert cut <= 0.05 * pairs, (cut, pairs)  # at random seven eighths would be cut
+
+
 @pytest.mark.parametrize("texts", [[], ["a"], ["a"] * 50, ["a"] * 60 + [str(i) for i in range(60)]])
 def test_sharding_extremes(spark, texts):
     check_shards(sharding.shard_documents(frame(spark, texts), 8).collect(), texts, 8)
@@ -161,6 +177,13 @@ def test_top_k_is_brute_force(spark):
     assert topk.top_k(df.limit(0), df.vec_id % 100 == 0).count() == 0
 
 
+def test_top_k_prunes_huge_products_exactly(spark):
+    rng = random.Random(6)
+    rows = [(i, [float(rng.randint(-(2**24), 2**24)) for _ in range(20)]) for i in range(300)] + [(i, [2.0**24] * 20) for i in range(300, 320)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.vec_id % 100 == 0).collect()} == brute_top(rows, 10)
+
+
 def test_top_k_of_huge_components(spark):
     rows = [(0, [1e30, -1e30]), (1, [1e30, 1e30]), (2, [3e14, 7.0]), (3, [-1e30, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -244,7 +267,7 @@ def test_jaccard_join_has_every_link(spark, block):
 
 def test_copies_of_a_task_emit_signatures_once(spark):
     df = spark.createDataFrame([(i, "the same words again and again " * 3) for i in range(400)], "doc_id long, text string").coalesce(2)
-    rows = df.selectExpr("doc_id AS row", "doc_id AS doc", "text").mapInArrow(jaccard._sets(3, 90), "row long, doc long, n long, lo long, hi long, signatures array<long>")
+    rows = df.selectExpr("doc_id AS row", "doc_id AS doc", "CAST(NULL AS INT) AS carry", "text").mapInArrow(jaccard._sets(3, 90), "row long, doc long, carry int, n long, lo long, hi long, signatures array<long>")
     assert rows.filter("signatures is not null").count() <= 2 and rows.count() == 400
 
 
@@ -505,6 +528,39 @@ def test_language_accuracy(spark):
 # Mixing
 
 
+def plain_budget(leaves, amount, rule):
+    """Budgets by finding, for each branch, the level at which its children's shares fill it."""
+
+    def capacity(path):
+        if any(rule.weights.get(path[:d], 1.0) <= 0 for d in range(1, len(path) + 1)):
+            return 0
+        return sum(n * rule.epochs for leaf, n in leaves.items() if leaf[: len(path)] == path and all(rule.weights.get(leaf[:d], 1.0) > 0 for d in range(1, len(leaf) + 1)))
+
+    def deal(path, amount):
+        if path in leaves:
+            return {path: math.floor(amount + 1e-6)}
+        below = sorted({leaf[: len(path) + 1] for leaf in leaves if leaf[: len(path)] == path}, key=str)
+        low, high = 0.0, 1e12
+        share = lambda t: [min(float(capacity(p)), t * rule.weights.get(p, 1.0)) for p in below]
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(share(mid)) < amount else (low, mid)
+        return {k: v for p, x in zip(below, share(high)) for k, v in deal(p, x).items()}
+
+    return deal((), min(amount, float(capacity(())))) if leaves else {}
+
+
+def test_budget_is_the_plain_one():
+    rng = random.Random(3)
+    for _ in range(60):
+        leaves = {(a, b, c): rng.randint(0, 3000) for a in "xy" for b in "pqr" for c in (None, "s", "t") if rng.random() < 0.8}
+        weights = {(a,): rng.choice([0.0, 1.0, 2.5]) for a in "xy" if rng.random() < 0.5} | {(a, b): rng.choice([0.0, 0.3, 4.0]) for a in "xy" for b in "pqr" if rng.random() < 0.3}
+        rule = mixing.Mixture(weights=weights, epochs=rng.randint(1, 3))
+        amount = rng.random() * 1.5 * max(1, sum(leaves.values()))
+        got, want = mixing.budget(leaves, amount, rule), plain_budget(leaves, amount, rule)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1 for k in got)
+
+
 def test_budget_redistributes_to_siblings_first():
     leaves = {("a", "x"): 10, ("a", "y"): 1000, ("b", "x"): 1000, ("b", "y"): 1000}
     got = mixing.budget(leaves, 400, mixing.Mixture(epochs=1))
@@ -527,7 +583,7 @@ def test_mixing_is_brute_force(spark, monkeypatch, bucket):
     leaves = Counter()
     for i in size:
         leaves[leaf[i]] += size[i]
-    target = mixing.budget(dict(leaves), rule.share * sum(leaves.values()), rule)
+    target = plain_budget(dict(leaves), rule.share * sum(leaves.values()), rule)
     want = Counter()
     for path, total in leaves.items():
         whole, rest = divmod(target[path], total)
@@ -568,8 +624,10 @@ def brute_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("wave", [96 << 20, 1])
-def test_line_dedup_is_brute_force(spark, wave):
+@pytest.mark.parametrize("most, per_task", [(64 << 20, 1 << 20), (1, 1 << 20), (1, 3)])
+def test_line_dedup_is_brute_force(spark, monkeypatch, most, per_task):
+    """By broadcast; and with hashes dealt to the shards, hot ones to several tasks."""
+    monkeypatch.setattr(line_dedup, "LINES_PER_TASK", per_task)
     rng = random.Random(5)
     pool = [("é" if i % 3 else "X") * 20 + f" line {i} of the common ones here" for i in range(30)]
     texts = [*ODD, *["\n".join(rng.choice([" ", "", "\t"]) + rng.choice(pool) + rng.choice(["", "\r", " "]) for _ in range(rng.randint(0, 12))) for _ in range(60)], pool[0].upper(), "İ" * 40]
@@ -577,13 +635,31 @@ def test_line_dedup_is_brute_force(spark, wave):
     rows = [(r.doc_id, r.text) for r in df.collect()]
     df = df.union(df.filter("doc_id = 20"))
     rows += [r for r in rows if r[0] == 20]
-    got = line_dedup.dedup_lines(df, keys_per_shard=4, wave_bytes=wave).collect()
+    got = line_dedup.dedup_lines(df, keys_per_shard=4, broadcast_bytes=most).collect()
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got) == brute_lines(rows)
     assert {c for c in got[0].asDict()} == {"doc_id", "text", "lang", "source", "n_lines", "n_dropped"}
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
 def test_perfect_hash():
-    keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 20_000, dtype=np.uint64))
-    h = line_dedup.PerfectHash(keys)
-    assert sorted(h.index(keys).tolist()) == list(range(len(keys)))
+    rng = np.random.default_rng(1)
+    hi = np.unique(rng.integers(0, 2**64, 20_000, dtype=np.uint64))
+    lo = rng.integers(0, 2**64, len(hi), dtype=np.uint64)
+    lo[:50] = lo[0]  # keys that share a half
+    h = line_dedup.PerfectHash(lo, hi)
+    assert sorted(h.index(lo, hi).tolist()) == list(range(len(hi)))
+    shard = line_dedup.Shard(lo, hi, np.arange(len(hi)), np.arange(len(hi)) * 3)
+    n, keeper = shard.probe(lo, hi)
+    assert n.tolist() == list(range(len(hi))) and keeper.tolist() == [3 * x for x in range(len(hi))]
+    assert not shard.probe(lo, hi + np.uint64(1))[0].any()
+    with pytest.raises(ValueError):
+        line_dedup.PerfectHash(np.ones(2, np.uint64), np.ones(2, np.uint64))
+
+
+def test_counts_in_the_arrays_decide(spark):
+    line = "a line of more than forty characters that repeats here"
+    df = spark.createDataFrame([(i, line) for i in range(4)] + [(9, "other")], "doc_id long, text string")
+    keys = line_dedup.line_counts(df, "doc_id", "text", 40).filter("n > 1").collect()
+    assert [(r.n, r.keeper) for r in keys] == [(4, 3)]
+    assert {r.n_dropped for r in line_dedup.dedup_lines(df).collect()} == {0}
+    assert sorted(r.n_dropped for r in line_dedup.dedup_lines(df, min_docs=4).collect()) == [0, 0, 1, 1, 1]
