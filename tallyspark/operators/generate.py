@@ -146,18 +146,38 @@ def head_halo(total: int, keys: int, ns: tuple[int, ...] = (100, 200, 400), heav
     return Boundary(total, keys, tuple(cohorts), seed=seed)
 
 
-#: Skew presets by distribution type.
-PROFILES = {"zipf": {"low": {"s": 0.8}, "medium": {"s": 1.05}, "high": {"s": 1.4}}, "normal": {"low": {"spread": 0.1}, "medium": {"spread": 0.05}, "high": {"spread": 0.02}}}
+def profile(kind: str, name: str, n: int) -> dict:
+    """Parameters of a named skew of a distribution. The published presets."""
+    zipfian = {"low_skew": {"s": 1.05}, "medium_skew": {"s": 1.2}, "high_skew": {"s": 1.5}}
+    bell = {"narrow": {"spread": 0.02}, "medium": {"spread": 0.031}, "wide": {"spread": 0.06}}
+    flat = {"low_skew": {"heavy": max(1, n // 20), "flatness": 0.2}, "medium_skew": {"heavy": max(1, n // 10), "flatness": 0.5}, "high_skew": {"heavy": max(1, n // 5), "flatness": 0.8}}
+    return {"zipf": zipfian, "normal": bell, "flattened": flat}.get(kind, {}).get(name, {})
+
+
+def distribution(spark: SparkSession, kind: str, total: int, keys: int, n: int = 100, name: str | None = None, **params) -> DataFrame:
+    """(key, cnt) of a kind of distribution, with a preset's parameters under those given."""
+    chosen = (profile(kind, name, n) if name else {}) | params
+    if kind == "uniform":
+        return uniform(spark, total, keys)
+    if kind == "zipf":
+        return zipf(spark, total, keys, **chosen)
+    if kind == "normal":
+        return normal(spark, total, keys, chosen.pop("n", n), **chosen)
+    if kind == "flattened":
+        return flattened(spark, total, chosen.pop("n", n), **chosen)
+    if kind == "heavy_and_background":
+        return heavy_and_background(spark, total, keys, chosen.pop("n", n), **chosen)
+    raise ValueError(f"unknown distribution {kind}")
 
 
 # Evolution over windows
 
 
-def blend(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
-    """(key, cnt) of (1 - share) a + share b, rounded down; zeros go."""
+def blend(a: DataFrame, b: DataFrame, share: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, key, cnt) of (1 - share) a + share b, rounded down; zeros go."""
     x, y = a.withColumnRenamed("cnt", "x"), b.withColumnRenamed("cnt", "y")
     mixed = F.floor((1 - share) * F.coalesce("x", F.lit(0)) + share * F.coalesce("y", F.lit(0))).cast("long")
-    return x.join(y, "key", "full_outer").select("key", mixed.alias("cnt")).filter("cnt > 0")
+    return x.join(y, [*by, "key"], "full_outer").select(*by, "key", mixed.alias("cnt")).filter("cnt > 0")
 
 
 @dataclass(frozen=True)
@@ -179,12 +199,15 @@ def scenario(steps: list[Step]) -> DataFrame:
     return out
 
 
-def match_ranks(before: DataFrame, after: DataFrame) -> DataFrame:
-    """after with its keys renamed to those of equal rank before: the assignment of least total change. New ranks keep new names."""
-    rank = F.row_number().over(Window.orderBy(F.desc("cnt"), "key"))
-    a = before.select(F.col("key").alias("old"), rank.alias("r"))
-    b = after.select("key", "cnt", rank.alias("r"))
-    return b.join(a, "r", "left").select(F.coalesce("old", F.concat(F.lit("new_"), F.col("key"))).alias("key"), "cnt")
+def match_ranks(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """after with its keys renamed to those of equal rank before, in each group of `by`: the assignment of least total change. New ranks keep new names.
+
+    A group's keys are ranked in one task; without groups, that is one window's keys.
+    """
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("cnt"), "key"))
+    a = before.select(*by, F.col("key").alias("old"), rank.alias("r"))
+    b = after.select(*by, "key", "cnt", rank.alias("r"))
+    return b.join(a, [*by, "r"], "left").select(*by, F.coalesce("old", F.concat(F.lit("new_"), F.col("key"))).alias("key"), "cnt")
 
 
 @dataclass(frozen=True)

@@ -10,11 +10,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.allocation import banded_gaussian, capped, diluted, largest_remainder
@@ -22,9 +22,14 @@ from ..functions.allocation import banded_gaussian, capped, diluted, largest_rem
 PLACED = "window long, part int, key string, cnt long"
 
 
+def _start(key: Column, salt: str, m: int) -> Column:
+    """A partition by the key's hash, the same in any engine that has MD5."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}|"), key).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(m))
+
+
 def round_robin(counts: DataFrame, m: int, seed: int = 0) -> DataFrame:
     """count // m everywhere, and one more on the partitions from a hashed start: no Python, no shuffle."""
-    start = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("key")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(m))
+    start = _start(F.col("key"), str(seed), m)
     rows = counts.filter("cnt > 0").select("window", "key", "cnt", start.alias("start"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"))
     share = F.floor((F.col("cnt") - F.pmod("cnt", F.lit(m))) / m).cast("long") + (F.col("i") < F.pmod("cnt", F.lit(m))).cast("long")
     return rows.select("window", F.pmod(F.col("start") + F.col("i"), F.lit(m)).cast("int").alias("part"), "key", share.alias("cnt")).filter("cnt > 0")
@@ -48,19 +53,17 @@ def prefix_locality(counts: DataFrame, m: int, seed: int = 0) -> DataFrame:
     def prefix(keys: pd.Series) -> pd.Series:
         return keys.map(network_prefix)
 
-    at = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), prefix("key")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(m))
+    at = _start(prefix("key"), str(seed), m)
     return counts.filter("cnt > 0").select("window", at.cast("int").alias("part"), "key", "cnt")
 
 
 def certificate_stress(counts: DataFrame, m: int, n: int, low: float = 0.8, high: float = 1.2, reporters: int = 3, seed: int = 0) -> DataFrame:
     """Keys near mass / n on few partitions, all others round robin."""
-    from pyspark.sql import Window
-
     mass = F.sum("cnt").over(Window.partitionBy("window"))
     near = (F.col("cnt") * n >= F.col("mass") * low) & (F.col("cnt") * n <= F.col("mass") * high)
     marked = counts.filter("cnt > 0").withColumn("mass", mass).withColumn("near", near)
     few = round_robin(marked.filter("near").select("window", "key", "cnt"), max(1, min(reporters, m)), seed)
-    shift = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(m))
+    shift = _start(F.col("key"), f"{seed}|few", m)
     moved = few.withColumn("part", F.pmod(F.col("part") + shift, F.lit(m)).cast("int"))
     return moved.unionByName(round_robin(marked.filter(~F.col("near")).select("window", "key", "cnt"), m, seed))
 
@@ -101,6 +104,7 @@ def synthetic_mixture(counts: DataFrame, m: int, seed: int = 0, uniform: float =
 class Locality:
     """Shares of global, regional and local keys, how many partitions are home to them, and how much of a key stays home."""
 
+    # fixed values: the policy's published defaults
     shares: tuple[float, float, float] = (0.15, 0.35, 0.35)
     homes: tuple[float, float, float] = (1.0, 0.20, 0.04)
     strength: tuple[float, float, float] = (0.10, 0.75, 0.90)
@@ -135,118 +139,186 @@ def imbalance(counts: DataFrame, m: int, seed: int = 0, spread: float = 0.1, dil
     return _per_key(counts, m, weigh)
 
 
-# Policies whose keys compete for room
+# Policies whose heavy and boundary keys compete for room. All other keys are placed first, by DataFrame operations;
+# of them a window's task sees only what they make of each partition.
 
 
 @dataclass
 class Board:
-    """Partitions of one window as they fill."""
+    """A window's partitions: their load so far, the count that the q-th of the lighter keys has there, and the window's mass."""
+
+    load: np.ndarray
+    floor: np.ndarray
+    mass: int
+    n: int
+    seed: int
+
+    @property
+    def m(self) -> int:
+        return len(self.load)
+
+    def even_targets(self) -> np.ndarray:
+        """Final masses of the partitions, adding up to the window's: one level, over which only what already lies higher stands out."""
+        low, high = 0, self.mass // self.m
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if np.maximum(self.load, mid).sum() <= self.mass else (low, mid - 1)
+        targets = np.maximum(self.load, low)
+        targets[np.flatnonzero(self.load <= low)[: self.mass - int(targets.sum())]] += 1
+        return targets
+
+
+def hide(supply: np.ndarray, caps: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Shares (key, partition) of the most mass that fits with at most caps[p] of a key and room[p] of all keys in partition p.
+
+    A partition takes from the keys that have most left, down to a common level, so
+    that what is left stays as even as can be. That gives the maximum flow: over k
+    it is the least of what all but the k largest keys have plus
+    min(room[p], k * caps[p]) over the partitions.
+    """
+    left, out = supply.astype(np.int64).copy(), np.zeros((len(supply), len(caps)), np.int64)
+    for p in range(len(caps)):
+        cap, most = int(max(0, caps[p])), int(max(0, room[p]))
+        taken = lambda level: np.clip(left - level, 0, cap)
+        low, high = 0, int(left.max(initial=0))
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if taken(mid).sum() <= most else (mid + 1, high)
+        share = taken(low)
+        if low > 0:  # one more of some keys down to the next level
+            more = np.flatnonzero(taken(low - 1) > share)[: most - int(share.sum())]
+            share[more] += 1
+        out[:, p] = share
+        left -= share
+    return out
+
+
+def fill(supply: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Shares of keys laid end to end along the partitions' room: each partition is filled to the end, as far as the keys go."""
+    a, b = np.concatenate([[0], np.cumsum(supply)]), np.concatenate([[0], np.cumsum(np.maximum(0, room))])
+    return np.maximum(0, np.minimum(a[1:, None], b[None, 1:]) - np.maximum(a[:-1, None], b[None, :-1])).astype(np.int64)
+
+
+def spread(supply: np.ndarray, m: int) -> np.ndarray:
+    """Even shares; the ones over go on from where the key before ended."""
+    start = np.concatenate([[0], np.cumsum(supply % m)[:-1]]) if len(supply) else supply
+    return supply[:, None] // m + ((np.arange(m)[None, :] - start[:, None]) % m < (supply % m)[:, None])
+
+
+def at_homes(keys: list[str], supply: np.ndarray, room: np.ndarray, homes: np.ndarray, seed: int) -> np.ndarray:
+    """Shares of keys in homes[i] partitions each, the same in all windows, within the room; the rest of a key is left."""
+    out, room = np.zeros((len(keys), len(room)), np.int64), np.maximum(0, room).copy()
+    for i, key in enumerate(keys):
+        rng = rng_of(seed, "home", key)
+        mine = rng.choice(len(room), int(min(len(room), max(1, homes[i]))), replace=False)
+        weights = np.zeros(len(room))
+        weights[mine] = rng.uniform(0.8, 1.2, len(mine))
+        out[i], _ = capped(int(supply[i]), weights, np.where(weights > 0, room, 0))
+        room -= out[i]
+    return out
+
+
+def to_few(supply: np.ndarray, load: np.ndarray, most: float) -> np.ndarray:
+    """Shares that fill up as few partitions as can be, the least loaded first, none beyond `most`; what is then left spreads evenly."""
+    order = np.argsort(load, kind="stable")
+    out = np.zeros((len(supply), len(load)), np.int64)
+    out[:, order] = fill(supply, np.floor(most - load[order]).astype(np.int64))
+    return out + spread(supply - out.sum(axis=1), len(load))
+
 
-    m: int
-    load: np.ndarray = field(init=False)
-    rows: list[tuple[int, str, int]] = field(default_factory=list)
+def _local_threshold(load: np.ndarray, n: int, scale: float) -> np.ndarray:
+    """The most that a key may have in a partition without being reported there."""
+    return np.maximum(0, np.ceil(scale * load / n).astype(np.int64) - 1)
 
-    def __post_init__(self):
-        self.load = np.zeros(self.m, np.int64)
 
-    def put(self, key: str, share: np.ndarray) -> None:
-        self.load += share
-        self.rows += [(p, key, int(share[p])) for p in np.flatnonzero(share).tolist()]
+LOAD_BOUND = 4.0  # no partition gets more than so many times the mean
+
+
+def _exact_fill(shares: np.ndarray, supply: np.ndarray, board: Board, targets: np.ndarray) -> np.ndarray:
+    """What is left of the keys goes where partitions lack their target."""
+    return shares + fill(supply - shares.sum(axis=1), targets - board.load - shares.sum(axis=0))
+
+
+def _persistent_ambiguity(b: Board, keys: list[str], supply: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Boundary keys mostly in a few lasting homes; heavy keys under 0.85 of the local threshold in three quarters of the partitions."""
+    mean, out = b.mass / b.m, np.zeros((len(keys), b.m), np.int64)
+    near = ~heavy
+    out[near] = at_homes([k for k, x in zip(keys, near) if x], np.round(supply[near] * 0.9).astype(np.int64), np.floor(LOAD_BOUND * mean - b.load).astype(np.int64), np.full(int(near.sum()), round(0.05 * b.m)), b.seed)
+    out[near] += spread(supply[near] - out[near].sum(axis=1), b.m)
+    load = b.load + out.sum(axis=0)
+    caps = _local_threshold(load, b.n, 0.85)
+    caps[rng_of(b.seed, "quarter").permutation(b.m)[: b.m // 4]] = 0
+    out[heavy] = hide(supply[heavy], caps, np.full(b.m, b.mass))
+    out[heavy] += spread(supply[heavy] - out[heavy].sum(axis=1), b.m)
+    return out
+
+
+def _hidden(b: Board, keys: list[str], supply: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """The most of the heavy keys' mass under the local thresholds of partitions of fixed sizes; then distractors, and what is left fills the sizes."""
+    targets, out = b.even_targets(), np.zeros((len(keys), b.m), np.int64)
+    out[heavy] = hide(supply[heavy], _local_threshold(targets, b.n, 1.0), targets - b.load)
+    room = targets - b.load - out.sum(axis=0)
+    near = ~heavy
+    out[near] = at_homes([k for k, x in zip(keys, near) if x], supply[near], room, np.full(int(near.sum()), round(0.1 * b.m)), b.seed)
+    return _exact_fill(out, supply, b, targets)
+
+
+def _constrained_certificate(b: Board, keys: list[str], supply: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Exact partition sizes: boundary keys whole in a fiftieth of the partitions as far as these hold them, heavy keys thin under 0.9 of the threshold."""
+    targets, out = b.even_targets(), np.zeros((len(keys), b.m), np.int64)
+    near = ~heavy
+    out[near] = at_homes([k for k, x in zip(keys, near) if x], supply[near], (targets - b.load) // 2, np.full(int(near.sum()), round(0.02 * b.m)), b.seed)
+    out[heavy] = hide(supply[heavy], _local_threshold(targets, b.n, 0.9), targets - b.load - out.sum(axis=0))
+    return _exact_fill(out, supply, b, targets)
+
+
+def _reported_mass_suppression(b: Board, keys: list[str], supply: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Boundary keys in so few partitions that each reports them; heavy keys under the threshold, their overflow with few reporters."""
+    mean, out = b.mass / b.m, np.zeros((len(keys), b.m), np.int64)
+    near = ~heavy
+    homes = np.maximum(1, np.floor(supply[near] * b.n / (1.25 * LOAD_BOUND * mean))).astype(np.int64)  # enough in each, however loaded it gets
+    out[near] = at_homes([k for k, x in zip(keys, near) if x], supply[near], np.floor(2 * mean - b.load).astype(np.int64), homes, b.seed)
+    out[near] += spread(supply[near] - out[near].sum(axis=1), b.m)
+    load = b.load + out.sum(axis=0)
+    out[heavy] = hide(supply[heavy], _local_threshold(load, b.n, 0.95), np.floor(LOAD_BOUND * mean - load).astype(np.int64))
+    out[heavy] += to_few(supply[heavy] - out[heavy].sum(axis=1), load + out[heavy].sum(axis=0), LOAD_BOUND * mean)
+    return out
+
+
+def _visibility(least: bool, scale: float):
+    def place(b: Board, keys: list[str], supply: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+        """Heavy keys, the marginal ones first, out of sight of the threshold and (least) or (else) of the local ranking; the rest of them with few reporters."""
+        mean, out = b.mass / b.m, np.zeros((len(keys), b.m), np.int64)
+        threshold, rank = _local_threshold(b.load, b.n, scale), np.maximum(0, b.floor - 1)
+        caps = np.minimum(threshold, rank) if least else np.maximum(threshold, rank)
+        load = b.load.copy()
+        for i in np.argsort(supply, kind="stable"):
+            out[[i]] = hide(supply[[i]], caps, np.floor(LOAD_BOUND * mean - load).astype(np.int64))
+            load += out[i]
+        return out + to_few(supply - out.sum(axis=1), load, LOAD_BOUND * mean)
+
+    return place
 
 
 @dataclass(frozen=True)
 class Adversary:
-    """How a window's keys are placed against local summaries.
-
-    Background keys go first (even, or by locality), then boundary keys, from
-    `near` times mass / n up, on `homes` of the partitions (0: as background), then
-    heavy keys, each under a local cap: `cap` times what counts as heavy in the
-    partition ("threshold"), its expected rank-n count ("rank"), or the least or
-    the largest of the two. What finds no room under the caps spreads evenly, or
-    goes to few reporters.
-    """
+    """How a window's heavy keys, and boundary keys from `near` times mass / n up, are placed on what the other keys leave."""
 
-    cap: float = 0.85
-    rule: str = "threshold"
-    near: float = 0.65
-    homes: float = 0.05
-    home_mass: float = 0.90
-    spread: float = 1.0
-    overflow: str = "even"
+    place: Callable[[Board, list[str], np.ndarray, np.ndarray], np.ndarray]
+    near: float = 1.0
     background: str = "even"
-    ascending: bool = False
     q_over_n: float = 1.0
 
-    def caps(self, board: Board, n: int, ranks: np.ndarray) -> np.ndarray:
-        threshold, rank = self.cap * board.load / n, self.cap * ranks
-        chosen = {"threshold": threshold, "rank": rank, "min": np.minimum(threshold, rank), "max": np.maximum(threshold, rank)}[self.rule]
-        return np.maximum(1, np.floor(chosen)).astype(np.int64)
-
-    def place(self, window: int, keys: list[str], counts: np.ndarray, m: int, n: int, seed: int) -> list[tuple[int, str, int]]:
-        board, mass = Board(m), int(counts.sum())
-        heavy, near = counts * n > mass, (counts * n <= mass) & (counts * n >= self.near * mass)
-        order = sorted(range(len(keys)), key=lambda i: (-int(counts[i]), keys[i]))
-        if not heavy.any() or heavy.all():
-            for i in order:
-                board.put(keys[i], self._even(keys[i], int(counts[i]), m, seed))
-            return board.rows
-        for i in order:
-            if not heavy[i] and not (near[i] and self.homes):
-                weights = Locality().weights(keys[i], m, seed) if self.background == "locality" else None
-                board.put(keys[i], largest_remainder(int(counts[i]), weights) if weights is not None else self._even(keys[i], int(counts[i]), m, seed))
-        mean = mass / m
-        for i in order:
-            if near[i] and self.homes:
-                board.put(keys[i], self._at_home(keys[i], int(counts[i]), board, mean, seed))
-        # the count of local rank q that hides a key: that of the background, as far as it is known before the heavy keys
-        small = np.sort(counts[~heavy])[::-1]
-        q = max(1, round(self.q_over_n * n))
-        ranks = board.load / max(1, board.load.sum()) * (small[q - 1] if len(small) >= q else 0)
-        own = [i for i in order if heavy[i]]
-        for i in reversed(own) if self.ascending else own:
-            board.put(keys[i], self._hidden(keys[i], int(counts[i]), board, n, ranks, seed))
-        return board.rows
-
-    @staticmethod
-    def _even(key: str, cnt: int, m: int, seed: int) -> np.ndarray:
-        share = np.full(m, cnt // m, np.int64)
-        share[(int(rng_of(seed, "even", key).integers(m)) + np.arange(cnt % m)) % m] += 1
-        return share
-
-    def _at_home(self, key: str, cnt: int, board: Board, mean: float, seed: int) -> np.ndarray:
-        rng = rng_of(seed, "home", key)
-        k = max(1, round(self.homes * board.m))
-        homes = rng.choice(board.m, min(k, board.m), replace=False)
-        weights = np.zeros(board.m)
-        weights[homes] = rng.uniform(0.8, 1.2, len(homes))
-        room = np.maximum(0, np.floor(4 * mean - board.load)).astype(np.int64)  # no partition beyond four times the mean
-        stays, left = capped(round(cnt * self.home_mass), weights, np.where(weights > 0, room, 0))
-        return stays + self._even(key, cnt - int(stays.sum()), board.m, seed)
-
-    def _hidden(self, key: str, cnt: int, board: Board, n: int, ranks: np.ndarray, seed: int) -> np.ndarray:
-        rng = rng_of(seed, "heavy", key)
-        weights = np.maximum(1, board.load) * rng.uniform(0.9, 1.1, board.m)
-        if self.spread < 1:
-            out = rng.permutation(board.m)[max(1, round(self.spread * board.m)) :]
-            weights[out] = 0
-        caps = np.where(weights > 0, self.caps(board, n, ranks), 0)
-        share, left = capped(cnt, weights, caps)
-        if left and self.overflow == "few":
-            few = np.zeros(board.m)
-            few[np.argsort(board.load, kind="stable")[: max(1, board.m // 20)]] = 1
-            return share + largest_remainder(left, few)
-        return share + self._even(key, left, board.m, seed)
-
 
 #: Named policies over competing keys.
 ADVERSARIES: dict[str, Adversary] = {
-    "persistent_ambiguity_adversary": Adversary(background="locality", spread=0.75, near=0.65),
-    "hh_hidden_optimal": Adversary(cap=1.0, homes=0.1, near=0.8),
-    "hh_hidden_exact": Adversary(cap=1.0, homes=0.0),
-    "constrained_certificate_adversary": Adversary(cap=0.9, homes=0.02, home_mass=1.0, near=0.5),
-    "reported_mass_suppression_adversary": Adversary(cap=0.95, overflow="few", homes=0.1, near=0.5),
-    "dual_visibility_adversary": Adversary(cap=0.7, rule="min", homes=0.05, near=0.5),
-    "filter_aware_visibility_adversary": Adversary(cap=0.7, rule="max", homes=0.05, near=0.5, ascending=True),
+    "persistent_ambiguity_adversary": Adversary(_persistent_ambiguity, 0.65, "locality"),
+    "hh_hidden_optimal": Adversary(_hidden, 0.8),
+    "hh_hidden_exact": Adversary(_hidden),
+    "constrained_certificate_adversary": Adversary(_constrained_certificate, 0.5),
+    "reported_mass_suppression_adversary": Adversary(_reported_mass_suppression, 0.5),
+    "dual_visibility_adversary": Adversary(_visibility(True, 0.7)),
+    "filter_aware_visibility_adversary": Adversary(_visibility(False, 0.7)),
 }
 ALIASES = {
     "persistent_affinity": "persistent_locality", "locality": "persistent_locality",
@@ -260,14 +332,38 @@ ALIASES = {
 
 
 def adversarial(counts: DataFrame, m: int, n: int, adversary: Adversary, seed: int = 0) -> DataFrame:
-    """A window's keys compete for room, so a window is one task; windows are independent."""
+    """Light keys by DataFrame operations; then a window's heavy and boundary keys, n / near at most, in one task that sees m partitions.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        window = int(rows["window"].iloc[0])
-        got = adversary.place(window, rows["key"].tolist(), rows["cnt"].to_numpy(np.int64), m, n, seed)
-        return pd.DataFrame([(window, p, k, c) for p, k, c in got], columns=["window", "part", "key", "cnt"])
-
-    return counts.filter("cnt > 0").select("window", "key", "cnt").groupBy("window").applyInPandas(run, PLACED)
+    A window without heavy keys, or without others, is placed evenly.
+    """
+    live = counts.filter("cnt > 0").select("window", "key", "cnt")
+    mass = live.groupBy("window").agg(F.sum("cnt").alias("mass"))
+    heavy, near = F.col("cnt") * n > F.col("mass"), F.col("cnt") * n >= F.col("mass") * adversary.near
+    kinds = live.join(mass, "window").withColumn("heavy", heavy).withColumn("rival", heavy | near & F.lit(adversary.near < 1))
+    rest = kinds.filter("not rival").select("window", "key", "cnt")
+    background = persistent_locality(rest, m, seed) if adversary.background == "locality" else round_robin(rest, m, seed)
+    q = max(1, round(adversary.q_over_n * n))
+    order = Window.partitionBy("window", "part").orderBy(F.desc("cnt"), "key")
+    floors = background.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= q).groupBy("window", "part").agg(F.max(F.when(F.col("rank") == q, F.col("cnt"))).alias("floor"))
+    boards = background.groupBy("window", "part").agg(F.sum("cnt").alias("load")).join(floors, ["window", "part"], "left")
+    boards = boards.select(F.col("window").alias("of"), "part", "load", "floor")
+
+    def run(rivals: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        if not len(rivals):
+            return pd.DataFrame(columns=["window", "part", "key", "cnt"])
+        rivals = rivals.sort_values(["cnt", "key"], ascending=[False, True])
+        keys, supply, is_heavy = rivals["key"].tolist(), rivals["cnt"].to_numpy(np.int64), rivals["heavy"].to_numpy(bool)
+        load, floor = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        load[parts["part"]], floor[parts["part"]] = parts["load"], parts["floor"].fillna(0)
+        board = Board(load, floor, int(rivals["mass"].iloc[0]), n, seed)
+        alone = not is_heavy.any() or not len(parts) and is_heavy.all()
+        shares = spread(supply, m) if alone else adversary.place(board, keys, supply, is_heavy)
+        i, p = np.nonzero(shares)
+        return pd.DataFrame({"window": int(rivals["window"].iloc[0]), "part": p.astype(np.int32), "key": [keys[k] for k in i.tolist()], "cnt": shares[i, p]})
+
+    rivals = kinds.filter("rival").select("window", "key", "cnt", "heavy", "mass")
+    placed = rivals.groupBy("window").cogroup(boards.groupBy("of")).applyInPandas(run, PLACED)
+    return background.unionByName(placed)
 
 
 def place(counts: DataFrame, m: int, policy: str, n: int = 100, seed: int = 0, **options) -> DataFrame:

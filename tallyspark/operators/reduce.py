@@ -25,12 +25,16 @@ def from_sketch(sketch: DataFrame, kind: str = "ss", hold: bool = True) -> tuple
     return parts, reports
 
 
-def certify(parts: DataFrame, reports: DataFrame, n: int, prune: bool = True) -> DataFrame:
+def certify(parts: DataFrame, reports: DataFrame, n: int, prune: bool = True, reducer: str = "hash", workers: int | None = None) -> DataFrame:
     """One row per (window, id): est, reporters, omega, cert_lb, cert_ub, inflation, hidden, resolution_part, guaranteed, mass, threshold.
 
     A partition must report an id once. The non-reporters' least counters are the sum over all partitions less that
     over reporters, so no key is paired with the partitions that miss it. With
     prune, keys whose upper bound is below the threshold go.
+
+    reducer "hash" deals ids by hash. "streaming" merges a window's reports in order
+    of id, one worker a window. "parallel-streaming" does so over ranges of ids,
+    balanced by a sample, in as many as `workers`. Results are the same.
     """
     w = ["window", "part"]
     least = reports.filter("kind = 'ss'").groupBy(*w).agg(F.count("*").alias("held"), F.min("est").alias("least"))
@@ -38,6 +42,12 @@ def certify(parts: DataFrame, reports: DataFrame, n: int, prune: bool = True) ->
     totals = ceilings.groupBy("window").agg(F.sum("n_local").alias("mass"), F.sum("floor").alias("floors")).withColumn("threshold", strict_threshold(F.col("mass"), n))
     joined = reports.join(ceilings.select(*w, "n_local", "floor"), w)
     head, ss = F.col("kind") == "head", F.col("kind") == "ss"
+    if reducer == "parallel-streaming":
+        joined = (joined.repartitionByRange(workers, "window", "id") if workers else joined.repartitionByRange("window", "id")).sortWithinPartitions("window", "id")
+    elif reducer == "streaming":
+        joined = joined.repartition("window").sortWithinPartitions("window", "id")
+    elif reducer != "hash":
+        raise ValueError(f"unknown reducer {reducer}")
     # a partition reports an id once, so its rows are counted as they are: one shuffle
     items = joined.groupBy("window", "id").agg(
         F.sum("est").alias("est"),
@@ -118,7 +128,13 @@ def reduce_buckets(cells: DataFrame, n: int, depth: int, residuals: DataFrame |
     stay. With residuals the upper bound is the lower one plus the bucket's
     residual, at most the mass; without, bounds are 0 and est. summary: unseen_ub
     is the most an id that didn't stay can have; complete if below the threshold.
+    Residuals must be known for every (part, bucket) that has cells: else bounds
+    would not hold, and it raises where it is read.
     """
+    if residuals is not None:
+        lacking = F.when(F.col("_known").isNull(), F.raise_error(F.lit("a bucket has cells but no residual")).cast("boolean")).otherwise(F.lit(True))
+        there = residuals.select("window", "part", "bucket", F.lit(True).alias("_known")).distinct()
+        cells = cells.join(there, ["window", "part", "bucket"], "left").filter(lacking).drop("_known")
     totals = parts.groupBy("window").agg(F.sum("n_local").alias("mass")).withColumn("threshold", strict_threshold(F.col("mass"), n))
     merged = cells.groupBy("window", "bucket", "id").agg(F.sum("est").alias("est"), F.sum("lb").alias("lb"), F.count_distinct("part").alias("reporters"), F.min("part").alias("resolution_part"))
     order = Window.partitionBy("window", "bucket").orderBy(F.desc("est"), "id")
@@ -143,10 +159,19 @@ def reduce_buckets(cells: DataFrame, n: int, depth: int, residuals: DataFrame |
     return items, both.select("window", "mass", "threshold", unseen.alias("unseen_ub"), (unseen < F.col("threshold")).alias("complete"))
 
 
-def resolve_keys(items: DataFrame, keys: DataFrame) -> DataFrame:
-    """Raw keys of published ids, fetched from the partition that resolves each: keys (window, part, id, key)."""
+def resolve_keys(items: DataFrame, keys: DataFrame, known: DataFrame | None = None, strict: bool = True) -> DataFrame:
+    """Published ids with their raw keys: those of `known` (id, key), the installed head's, else fetched from the partition that resolves each.
+
+    keys is (window, part, id, key). With strict, an id without a key raises where
+    it is read; else its key is null.
+    """
     wanted = items.filter(F.col("est") >= F.col("threshold"))
     found = wanted.join(keys.withColumnRenamed("part", "resolution_part"), ["window", "resolution_part", "id"], "left")
+    if known is not None:
+        found = found.join(known.select("id", F.col("key").alias("_known")), "id", "left").withColumn("key", F.coalesce("_known", "key")).drop("_known")
+    if strict:
+        lost = F.raise_error(F.concat(F.lit("no partition resolves "), F.col("id").cast("string")))
+        found = found.withColumn("key", F.when(F.col("key").isNull(), lost).otherwise(F.col("key")))
     return found
 
 

@@ -143,30 +143,80 @@ class LockedBuckets:
         self.bucket_mass = [0] * self.width
         self.mass = 0
 
-    def _rise(self, cells: list[Cell], j: int) -> None:
-        if j + 1 < self.depth and cells[j].count > cells[j + 1].count:
-            cells[j], cells[j + 1] = cells[j + 1], cells[j]
-
     def update(self, key: str, bucket: int, weight: int = 1) -> None:
-        cells = self.cells[bucket]
-        for _ in range(max(0, weight)):
-            self.mass += 1
-            self.bucket_mass[bucket] += 1
+        """As `weight` updates of one, in time that doesn't grow with the weight beyond UNITS."""
+        cells, left = self.cells[bucket], max(0, weight)
+        while left:
             j = next((i for i in reversed(range(self.depth)) if cells[i].count and cells[i].key == key), None)
             if j is None:
                 j = next((i for i in reversed(range(self.depth)) if not cells[i].count), None)
                 if j is not None:
                     cells[j] = Cell(key)
             if j is not None:
-                cells[j].count += 1
-                cells[j].lower += 1
-                self._rise(cells, j)
-            elif cells[0].count < self.mass * (self.theta * self.lock):
-                self._fight(cells[0], key, self.random.next())
+                self.mass += left
+                self.bucket_mass[bucket] += left
+                cells[j].count += left
+                cells[j].lower += left
+                while j + 1 < self.depth and cells[j].count > cells[j + 1].count:
+                    cells[j], cells[j + 1] = cells[j + 1], cells[j]
+                    j += 1
+                return
+            cell = cells[0]
+            spent = min(left, self._locked(cell.count))
+            if spent:  # the cell stays locked for so many
+                pass
+            elif left <= self.UNITS:
+                spent = 1
+                self._fight(cell, key, self.random.next())
+            else:
+                spent = self._fight_many(cell, key, left)
+            self.mass += spent
+            self.bucket_mass[bucket] += spent
+            left -= spent
+
+    #: Updates up to here are fought one by one, as the sequence of draws says; of more, the number of lost fights is drawn.
+    UNITS = 1000
+
+    def _locked(self, count: int) -> int:
+        """For how many more updates a cell of that count stays locked: it is while count >= mass * theta * lock, the mass with the update."""
+        rate = self.theta * self.lock
+        if rate <= 0:
+            return 2**62
+        n = max(0, math.ceil(count / rate) - self.mass - 1)
+        while n and count < (self.mass + n) * rate:
+            n -= 1
+        while count >= (self.mass + n + 1) * rate:
+            n += 1
+        return n
+
+    def _fight_many(self, cell: Cell, key: str, most: int) -> int:
+        """Fights until one changes whose cell it is, or `most` of them; how many there were."""
+        u = (self.random.next() + 1) / (2**31 + 1)
+        before = cell.count
+        if self.mode == 2 or self.mode == 1:
+            odds = 1 / (before + 1) if self.mode == 2 else 1 / int(1.08 ** min(before, 9000))
+            lost = 0 if odds >= 1 else int(min(most, math.log(u) / math.log1p(-odds)))
+            if lost < most:
+                self._fight(cell, key, 0)  # a draw that wins
+                return lost + 1
+            return most
+        if self.mode == 0:
+            fought = min(most, before)
+            cell.count -= fought
+            if cell.count <= 0:
+                cell.key, cell.count, cell.lower = key, 1, 1
+            return fought
+        # mode 3: none of k fights is won with probability before / (before + k)
+        lost = int(min(most, before / u - before))
+        cell.count += lost
+        if lost < most:
+            self._fight(cell, key, 0)
+            return lost + 1
+        return most
 
     def _fight(self, cell: Cell, key: str, draw: int) -> None:
         before = cell.count
-        if self.mode == 0 or self.mode == 1 and draw % int(1.08**before) == 0:
+        if self.mode == 0 or self.mode == 1 and draw % int(1.08 ** min(before, 9000)) == 0:
             cell.count -= 1
             if cell.count <= 0:
                 cell.key, cell.count, cell.lower = key, 1, 1

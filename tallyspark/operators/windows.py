@@ -32,8 +32,7 @@ def ordered_counts(events: DataFrame, ts: str, key: str, hours: float, origin: s
     at = events.withColumn("window", F.floor(seconds / int(hours * 3_600_000_000)).cast("long"))
     bad = at.filter("window < 0").limit(1).count()
     if "pos" in events.columns:
-        before = F.lag(ts).over(Window.partitionBy(F.spark_partition_id()).orderBy("pos"))
-        bad += events.withColumn("_before", before).filter(F.col("_before") > F.col(ts)).limit(1).count()
+        bad += not in_order(events, "pos", ts)
     if bad:
         raise ValueError("events before the origin or out of order")
     counts = at.groupBy("window", key).agg(F.count("*").alias("cnt"))
@@ -42,6 +41,20 @@ def ordered_counts(events: DataFrame, ts: str, key: str, hours: float, origin: s
     return calendar.join(counts, "window", "left").select("window", F.col(key).alias("key"), F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
+def in_order(rows: DataFrame, by: str, value: str, parts: int = 1024) -> bool:
+    """Whether value never falls along `by`. Ranges of `by` are looked through by themselves, and their ends compared."""
+    span = rows.agg(F.min(by).alias("a"), F.max(by).alias("b")).first()
+    if span.a is None:
+        return True
+    part = F.floor((F.col(by) - F.lit(span.a)) * F.lit(parts) / F.lit(max(1, span.b - span.a + 1))).cast("int")
+    cut = rows.select(part.alias("_part"), F.col(by).alias("_by"), F.col(value).alias("_value")).filter("_value is not null")
+    before = F.lag("_value").over(Window.partitionBy("_part").orderBy("_by", "_value"))
+    if cut.withColumn("_before", before).filter("_before > _value").limit(1).count():
+        return False
+    ends = cut.groupBy("_part").agg(F.min("_value").alias("low"), F.max("_value").alias("high")).orderBy("_part").collect()  # `parts` rows
+    return all(x.high <= y.low for x, y in zip(ends, ends[1:]))
+
+
 def first_events(events: DataFrame, most: int, order: str = "pos") -> DataFrame:
     """The first `most` events in order."""
     return events.orderBy(order).limit(most)
@@ -71,7 +84,7 @@ def concat_traces(traces: dict[str, DataFrame]) -> DataFrame:
     # numbering works on the few distinct windows, not on the rows
     labels = out.select("_order", "window").distinct()
     numbered = labels.withColumn("_to", (F.row_number().over(Window.orderBy("_order", "window")) - 1).cast("long"))
-    joined = out.join(F.broadcast(numbered), ["_order", "window"])
+    joined = out.join(numbered, ["_order", "window"])
     return joined.select(F.col("_to").alias("window"), "key", "cnt", "source_profile", F.col("window").alias("source_window"))
 
 

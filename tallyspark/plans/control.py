@@ -86,6 +86,7 @@ class Decision:
     probe_issued: bool = False
     probe_failed: bool = False
     ambiguity: float = 0.0
+    wanted: int = 0  # the baseline with what ambiguous keys ask for, before any bound
 
 
 def nearest_rank(values: Iterable[float], alpha: float) -> float:
@@ -111,7 +112,7 @@ class Controller:
         p = self.policy
         q = max(p.least, q or p.least)
         if p.fixed or not mass:
-            return Decision(p.clamp(q))
+            return Decision(p.clamp(q), wanted=q, baseline=q)
         margin = service_margin(items, mass, threshold, p.alpha)
         violated = margin > p.target
         q_up = max(q + 1, math.ceil(q * (margin / p.target))) if violated else 0
@@ -128,7 +129,7 @@ class Controller:
         base = max(p.least, base)
         lift = self._ambiguity(base, q, items, mass, threshold)
         wanted = max(base, math.ceil(base * math.exp(lift))) if p.ambiguity else base
-        return Decision(p.clamp(max(p.least, wanted)), margin, violated, q_up, base, issued, failed, lift)
+        return Decision(p.clamp(max(p.least, wanted)), margin, violated, q_up, base, issued, failed, lift, wanted)
 
     def _recover(self, q: int, q_up: int, margin: float) -> int:
         """After a violation: up to the demand. A failed probe is remembered; a fresh violation forgets older probes."""
@@ -261,7 +262,7 @@ class Capacity:
         return max(1, self.budget // 32)
 
     def tail(self, head: int) -> int:
-        return max(0, (self.budget - 24 * head) // 32)
+        return max(1, (self.budget - 24 * head) // 32)
 
     def width(self, depth: int) -> int:
         return max(1, self.budget // (depth * 20 + 1))
@@ -276,14 +277,32 @@ def deployed(mode: str, decision: Decision, policy: Policy, q: int) -> int:
     return policy.clamp(wanted[mode])
 
 
-def verify_plan(rows: list[dict]) -> list[dict]:
-    """rows (window, q, q_up) with miss (less than the window needed), over (more than the next needs), and the log ratio of deployed to needed."""
-    out = []
-    for row, after in zip(rows, [*rows[1:], None]):
-        need = row["q_up"] or row["q"]
-        extra = {"miss": row["q"] < need, "over": after is not None and (after["q_up"] or after["q"]) < row["q"], "bias": math.log(row["q"] / need)}
-        out.append(row | extra)
-    return out
+@dataclass(frozen=True)
+class Check:
+    """How a window's capacity q compares with what the window turned out to need, and with the plan that was made for it.
+
+    required is the need without, effective with ambiguous keys, neither under the
+    floor. miss: q is under the need, as far as the cap allows it. The plan's flags
+    are None in the first window, for which there is no plan.
+    """
+
+    required: int
+    effective: int
+    miss_required: bool
+    miss_effective: bool
+    over_required: float
+    over_effective: float
+    service_ok: bool | None = None
+    control_ok: bool | None = None
+    calibration_ok: bool | None = None
+
+
+def verify_plan(q: int, decision: Decision, policy: Policy, planned: tuple[int, int] | None) -> Check:
+    """The check of a window; planned is (capacity, predicted need) of the plan made in the window before."""
+    required, effective = max(policy.least, decision.baseline), max(policy.least, decision.wanted)
+    cap = min(x for x in (policy.cap, policy.most, 2**62) if x is not None)
+    flags = (None, None, None) if planned is None else (required <= planned[0], effective <= planned[0], effective <= max(policy.least, planned[1]))
+    return Check(required, effective, q < min(required, cap), q < min(effective, cap), q / required, q / effective, *flags)
 
 
 def upward_only(policy: Policy) -> Policy:

@@ -7,19 +7,20 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.held import held
+from ..functions.held import held, scratch
 from ..operators import exact, hybrid, metrics, reduce, sketches
-from .control import Capacity, Controller, Item, Policy, deployed
+from ..sources.streams import EVENT
+from .control import Capacity, Controller, Item, Policy, deployed, next_width, verify_plan, width_ladder
 
 METHODS = ("oracle", "ss", "hybrid", "hl", "chk")
 _FLAG = {"on": True, "off": False}
-#: Options, the methods they apply to, and what they may be.
+#: Fixed names and values: the options, the methods they apply to, and what they may be.
 OPTIONS: dict[str, tuple[tuple[str, ...], object]] = {
     "policy": (("ss",), ("difficulty", "static")),
     "q": (("ss",), re.compile(r"\d*n|\d+")),
@@ -143,71 +144,173 @@ def run_static(events: DataFrame, method: Method, n: int, memory: int | None = N
     if method.name == "ss":
         q = multiple(method.get("q", "n"), n)
         q = min(q, budget.counters()) if budget else q
-        return reduce.certify(*reduce.from_sketch(sketches.space_saving(events, q, method.get("ss-eps", "per-item") == "per-item")), n, prune=False)
+        return reduce.certify(*reduce.from_sketch(sketches.space_saving(events, q, method.get("ss-eps", "per-item") == "per-item")), n, prune=False, reducer=method.get("reducer", "hash"))
     if method.name == "chk":
         found = sketches.cuckoo_keeper(events, budget.cuckoo_buckets() if budget else n, theta=1 / n)
         return reduce.certify(*reduce.from_sketch(found, "plain"), n, prune=False)
     if method.name == "hl":
         depth, width = int(method.get("hl-d", 6)), method.get("hl-w", "auto")
         width = (budget.width(depth) if budget else -(-8 * n // 25)) if width == "auto" else int(width)
-        cells = held(sketches.locked_buckets(events, width, depth, method.get("hl-L", 0.7), 1 / n, int(method.get("hl-lossy", 2))))
-        rest = cells.select("window", "part", "bucket", "residual").distinct() if method.get("hl-cert", False) else None
-        parts = cells.groupBy("window", "part").agg(F.max("n_local").alias("n_local"))
-        return reduce.reduce_buckets(cells.withColumnRenamed("key", "id"), n, depth, rest, parts)[0]
+        return _buckets(events, method, n, width, depth, bool(method.get("hl-cert", False)))[0]
     raise ValueError(f"{method.name} is adaptive")
 
 
-def run_adaptive(events: DataFrame, method: Method, n: int, memory: int | None = None) -> DataFrame:
-    """One row per window of an adaptive run: capacities, margin, probes and quality.
+RUN = (
+    "window long, method string, n int, q long, q_next long, head_size int, head_next int, tail_floor int, tail_cap long, margin double, violation boolean, q_up long, probe_issued boolean, probe_failed boolean, "
+    "required long, effective long, miss_required boolean, miss_effective boolean, over_required double, over_effective double, service_ok boolean, control_ok boolean, calibration_ok boolean, "
+    "head_removed int, head_added int, head_delta boolean, head_bytes long, mass long"
+)
+
+
+def staged(events: DataFrame) -> tuple[str, list[int]]:
+    """Events of positive weight by window in the shared folder, and the windows: each window's step then reads its own files."""
+    path = scratch(events.sparkSession, "events")
+    rows = events.filter("weight > 0 and window is not null").select("window", "part", "pos", "key", "weight")
+    rows.repartition("window", "part").write.partitionBy("window").parquet(path)
+    back = events.sparkSession.read.schema(EVENT).parquet(path)
+    return path, sorted(r[0] for r in back.select("window").distinct().collect())
+
+
+@dataclass
+class Adaptive:
+    """An adaptive run of Space-Saving or of a hybrid: what the next window gets, from what this one showed.
+
+    A hybrid's tail is bounded by what memory leaves beside the head, and its floor
+    is n times the share of mass that a partition has outside the head. Both bound
+    the controller's decision, and the floor wins.
+    """
+
+    method: Method
+    n: int
+    memory: int | None
+    partitions: int = 1
+    head: hybrid.Head = field(default_factory=hybrid.Head)
+    planned: tuple[int, int] | None = None
+
+    def __post_init__(self):
+        self.is_hybrid = self.method.name == "hybrid"
+        self.capacity = Capacity(self.memory) if self.memory else None
+        self.controller = Controller(policy_of(self.method, self.n, self.capacity.counters() if self.capacity else None))
+        self.q = self.controller.policy.clamp(self._static() or self.n)
+
+    def _static(self) -> int | None:
+        """The fixed capacity of a method without control."""
+        if self.is_hybrid:
+            tail = self.method.get("hyb-tail", "difficulty")
+            return None if tail == "difficulty" else multiple(tail, self.n)
+        return multiple(self.method.get("q", "n"), self.n) if self.method.get("policy", "difficulty") == "static" else None
+
+    def reports(self, spark, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+        per_item = self.method.get("ss-eps", "per-item") == "per-item"
+        if self.is_hybrid:
+            return hybrid.hybrid_report(events, self.head.frame(spark), self.q, self.head.generation, per_item)
+        return reduce.from_sketch(sketches.space_saving(events, self.q, per_item))
+
+    def step(self, label: int, rows: list[tuple[Item, Row]], total: Row | None, head_share: float) -> tuple:
+        """The window's row of RUN; then the state is that of the next window."""
+        mass, threshold = (total.mass, total.threshold) if total else (0, 1)
+        known, q, policy = set(self.head.ids), self.q, self.controller.policy
+        change = None
+        if self.is_hybrid:
+            wanted = next_head([r for _, r in rows], self.method.get("hyb-head", "topn-frontier"), self.n)
+            change = hybrid.update(self.head, wanted, 4 * self.n, self.method.get("head-delta-eta", 0.8), int(self.method.get("head-checkpoint", 32)))
+            cap = self.capacity.tail(len(change.head.ids)) if self.capacity else None
+            policy = replace(policy, floor=hybrid.tail_floor(1, self.n, head_share), cap=cap, most=cap)
+        self.controller.policy = policy
+        residual = [i for i, r in rows if r.id not in known and r.cert_ub >= r.threshold]
+        decision = self.controller.next(q, residual, mass, threshold)
+        check = verify_plan(q, decision, policy, self.planned)
+        fixed = self._static()
+        following = policy.clamp(fixed) if fixed else deployed(self.method.get("diff-mode", "predictive"), decision, policy, q)
+        self.q = max(policy.least, following)
+        self.planned = None if fixed else (self.q, decision.wanted)
+        if change:
+            self.head = change.head
+        return (
+            label, self.method.label, self.n, q, self.q, len(known), len(self.head.ids), policy.least, policy.cap, decision.margin, decision.violation, decision.q_up, decision.probe_issued, decision.probe_failed,
+            *astuple(check), len(change.removed) if change else 0, len(change.added) if change else 0, bool(change and change.is_delta), change.bytes * self.partitions if change else 0, mass,
+        )
+
+
+def run_adaptive(events: DataFrame, method: Method, n: int, memory: int | None = None, topk: int | None = None) -> DataFrame:
+    """One row per window of an adaptive run: capacities, margin, probes, the plan's check, head updates, and quality.
 
     Windows follow each other, as each one's capacity comes from the one before. A
-    window is one job, of which the frontier and the top, a few times n rows, reach
-    the driver. Quality comes from one more plan over all windows at the capacities
-    that were deployed.
+    window's certified items are written once; its frontier and its top, a few
+    times n rows, reach the driver. Quality is one more plan over all the items.
+    hl with hl-adaptive=on climbs its width ladder instead.
     """
+    if method.name == "hl":
+        return _run_widths(events, method, n, topk)
     spark = events.sparkSession
-    held = events.filter("weight > 0").persist()
-    labels = sorted(r[0] for r in held.select("window").distinct().collect())
-    policy = policy_of(method, n, Capacity(memory).counters() if memory else None)
-    controller, head, q = Controller(policy), hybrid.Head(), policy.clamp(n)
-    rows, used, heads = [], {}, []
-    is_hybrid, mode = method.name == "hybrid", method.get("diff-mode", "predictive")
+    path, labels = staged(events)
+    items_at = scratch(spark, "items")
+    every = spark.read.schema(EVENT).parquet(path)
+    run = Adaptive(method, n, memory, every.select("part").distinct().count())
+    rows = []
     for label in labels:
-        one = held.filter(F.col("window") == label)
-        parts, reports = hybrid.hybrid_report(one, head.frame(spark), q, head.generation) if head.ids else reduce.from_sketch(sketches.space_saving(one, q))
-        found, total = _control_rows(reduce.certify(parts, reports, n, prune=False), 2 * n)
-        known = set(head.ids)
-        items = [i for i, r in found if r.id not in known and r.cert_ub >= r.threshold]
-        decision = controller.next(q, items, total.mass if total else 0, total.threshold if total else 1)
-        used[label] = q
-        heads += [(label, slot, key) for slot, key in enumerate(head.ids)]
-        rows.append((label, method.label, n, q, decision.q, len(known), decision.margin, decision.violation, decision.q_up, decision.probe_issued, decision.probe_failed, total.mass if total else 0))
-        if is_hybrid:
-            head = hybrid.Head.install(next_head([r for _, r in found], method.get("hyb-head", "topn-frontier"), n), 4 * n, head.generation + 1)
-        q = deployed(mode, decision, policy, q)
-    dictionary = spark.createDataFrame(heads, "window long, slot int, key string")
-    parts, reports = hybrid.hybrid_report(events, dictionary, used) if is_hybrid else reduce.from_sketch(sketches.space_saving(events, used))
-    score = metrics.evaluate(exact.global_counts(events).withColumnRenamed("key", "id"), reduce.certify(parts, reports, n, prune=False), n)
-    schema = "window long, method string, n int, q long, q_next long, head_size int, margin double, violation boolean, q_up long, probe_issued boolean, probe_failed boolean, mass long"
-    control = spark.createDataFrame(rows, schema)
-    held.unpersist()
-    return control.join(score.select("window", "precision", "recall", "f1", "aae", "are"), "window", "left")
-
-
-def benchmark(events: DataFrame, methods: str, n: int, memory: int | None = None, k: int | None = None) -> DataFrame:
-    """Quality per (window, method) of a list of methods against the exact counts; the list must name oracle."""
+        parts, reports = run.reports(spark, every.filter(F.col("window") == label))
+        reduce.certify(parts, reports, n, prune=False, reducer=method.get("reducer", "hash")).write.mode("append").partitionBy("window").parquet(items_at)
+        items = spark.read.parquet(f"{items_at}/window={label}").withColumn("window", F.lit(label).cast("long"))
+        share = hybrid.least_head_share(parts).first().share if run.is_hybrid else 0.0
+        rows.append(run.step(label, *_control_rows(items, 2 * n), share))
+    control = spark.createDataFrame(rows, RUN)
+    return _with_quality(control, every, items_at, labels, n, topk)
+
+
+def _with_quality(control: DataFrame, events: DataFrame, items_at: str, labels: list[int], n: int, topk: int | None) -> DataFrame:
+    names = ["precision", "recall", "f1", "aae", "are"] + ["overlap"] * (topk is not None)
+    if not labels:
+        return control.select("*", *[F.lit(None).cast("double").alias(x) for x in names])
+    items = control.sparkSession.read.parquet(items_at).withColumn("window", F.col("window").cast("long"))
+    score = metrics.evaluate(exact.global_counts(events).withColumnRenamed("key", "id"), items, n, topk)
+    return control.join(score.select("window", *names), "window", "left")
+
+
+def _run_widths(events: DataFrame, method: Method, n: int, topk: int | None) -> DataFrame:
+    """(window, method, n, q, q_next, complete, mass, quality): q is the width, one rung up after a window that could not certify its candidates."""
+    spark = events.sparkSession
+    path, labels = staged(events)
+    items_at = scratch(spark, "items")
+    every = spark.read.schema(EVENT).parquet(path)
+    width, depth, rows = method.get("hl-w", "auto"), int(method.get("hl-d", 6)), []
+    width = width_ladder(n)[0] if width == "auto" else int(width)
+    for label in labels:
+        one = every.filter(F.col("window") == label)
+        items, summary = _buckets(one, method, n, width, depth, True)
+        items.write.mode("append").partitionBy("window").parquet(items_at)
+        told = summary.first()
+        after = next_width(width, told.complete, n)
+        rows.append((label, method.label, n, width, after, told.complete, told.mass))
+        width = after
+    control = spark.createDataFrame(rows, "window long, method string, n int, q long, q_next long, complete boolean, mass long")
+    return _with_quality(control, every, items_at, labels, n, topk)
+
+
+def _buckets(events: DataFrame, method: Method, n: int, width: int, depth: int, certified: bool) -> tuple[DataFrame, DataFrame]:
+    cells = held(sketches.locked_buckets(events, width, depth, method.get("hl-L", 0.7), 1 / n, int(method.get("hl-lossy", 2))))
+    rest = cells.select("window", "part", "bucket", "residual").distinct() if certified else None
+    parts = cells.groupBy("window", "part").agg(F.max("n_local").alias("n_local"))
+    return reduce.reduce_buckets(cells.withColumnRenamed("key", "id"), n, depth, rest, parts)
+
+
+def adaptive(method: Method) -> bool:
+    return method.name == "hybrid" or method.name == "ss" and method.get("policy", "difficulty") == "difficulty" or method.name == "hl" and bool(method.get("hl-adaptive", False))
+
+
+def benchmark(events: DataFrame, methods: str, n: int, memory: int | None = None, topk: int | None = None) -> DataFrame:
+    """Quality per (window, method) of a list of methods against the exact counts; the list must name oracle. With topk, the overlap of the top k too."""
     parsed = parse_methods(methods)
     if not any(m.name == "oracle" for m in parsed):
         raise ValueError("the list needs oracle")
-    truth = exact.global_counts(events).withColumnRenamed("key", "id")
+    truth = held(exact.global_counts(events).withColumnRenamed("key", "id"))
+    names = ["precision", "recall", "f1", "aae", "are"] + ["overlap"] * (topk is not None)
     out = None
     for m in parsed:
         if m.name == "oracle":
             continue
-        if m.name == "hybrid" or m.name == "ss" and m.get("policy", "difficulty") == "difficulty":
-            part = run_adaptive(events, m, n, memory).select("window", "method", "precision", "recall", "f1", "aae", "are")
-        else:
-            part = metrics.evaluate(truth, run_static(events, m, n, memory), n, k).select("window", F.lit(m.label).alias("method"), "precision", "recall", "f1", "aae", "are")
+        one = run_adaptive(events, m, n, memory, topk) if adaptive(m) else metrics.evaluate(truth, run_static(events, m, n, memory), n, topk).withColumn("method", F.lit(m.label))
+        part = one.select("window", "method", *names)
         out = part if out is None else out.unionByName(part)
     return out
 

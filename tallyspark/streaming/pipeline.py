@@ -98,11 +98,16 @@ def restore(s: sketches.SpaceSaving, saved: tuple) -> None:
 
 @dataclass
 class AdaptiveRun:
-    """foreachBatch state of an adaptive run: each batch holds whole windows, which it reduces in order."""
+    """foreachBatch state of an adaptive run: each batch holds whole windows, which it reduces in order.
+
+    A window that comes again, or after a later one, raises: it would be reduced
+    in pieces. Feed it from a stream that emits closed windows.
+    """
 
     policy: Policy
     sink: Callable[[DataFrame, int], None]
     q: int = 0
+    last: int | None = None
     controller: Controller = field(init=False)
     history: list[tuple[int, int, float]] = field(default_factory=list)
 
@@ -114,7 +119,10 @@ class AdaptiveRun:
         held = batch.persist()
         try:
             for window in sorted(r[0] for r in held.select("window").distinct().collect()):
+                if self.last is not None and window <= self.last:
+                    raise ValueError(f"window {window} comes after window {self.last}")
                 self.step(held.filter(F.col("window") == window), window)
+                self.last = window
         finally:
             held.unpersist()
 
