@@ -43,7 +43,8 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, most_rounds: int = 60, thin: bool = True) -> DataFrame:
     """(v, root) of each node v of edges (a, b) that isn't the least of its component; root is that least node.
 
-    Self loops and repeated edges don't matter. With thin, the edges of each batch
+    Self loops and repeated edges don't matter. Rounds grow with the logarithm of
+    the longest path; one that hasn't settled after most_rounds raises. With thin, the edges of each batch
     are first reduced to stars, in Python; each round is written to the
     checkpoint folder, so that lineage stays short.
     """
@@ -52,9 +53,10 @@ def components(edges: DataFrame, most_rounds: int = 60, thin: bool = True) -> Da
     now, seen = cut(now.distinct()), None
     for _ in range(most_rounds):
         both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).union(now.select("u", "v"))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").filter("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        # least is written before it is joined: a join of two plain shuffles is one whose hot keys Spark splits
+        least = cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
+        large = cut(both.join(least, "x").filter("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct())
+        least = cut(large.groupBy("v").agg(F.min("u").alias("m")))
         small = large.join(least, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").filter("v <> u").distinct()
         now = cut(small)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
