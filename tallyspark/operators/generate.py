@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.allocation import largest_remainder
+from ..functions.held import scratch
 
 
 def _keys():
@@ -212,79 +213,140 @@ def match_ranks(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ()) -
 
 @dataclass(frozen=True)
 class Evolution:
-    """How identities change from window to window: births, swaps of hot keys, limits of relative change, churn of the top n."""
+    """How keys change from window to window, while each window's counts are given.
 
+    Keys keep their rank, but: `birth` of the keys are new, in place of cold ones
+    that were at most `dying` of the threshold; `drift` of the heavy ones were not
+    heavy before; new keys stay under `newborn` of the threshold, except
+    `newborn_hot` of them; no key that stays changes by more than `most_change` of
+    its count; and `churn` of the top `top` were not there before.
+    """
+
+    n: int = 100
     birth: float = 0.0
-    drift: float = 0.0
+    dying: float = 0.8
+    drift: float | None = None
+    newborn: float = 0.9
+    newborn_hot: float = 0.0
     most_change: float = 1.0
-    churn: float = 0.0
-    n: int = 100
+    churn: float | None = None
+    top: int | None = None
     seed: int = 0
 
-    def step(self, before: dict[str, int], now: dict[str, int], w: int) -> dict[str, int]:
+    def step(self, keys: np.ndarray, before: np.ndarray, now: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, counts) of window w from those of the window before and the counts of its own. No loop over all keys."""
+        order = np.lexsort((keys, -before))
+        keys, before, counts = keys[order], before[order], np.sort(now)[::-1].astype(np.int64)
+        was = int(before.sum()) // self.n + 1
+        hot = counts >= int(counts.sum()) // self.n + 1
+        slot = np.arange(len(counts))
+        owner = np.where(slot < len(keys), slot, -1)  # place of the slot's key before; -1: a new key
+        old = np.append(before, 0)  # by place; that of a new key is 0
+        cold = np.flatnonzero((owner >= 0) & ~hot & (old[owner] <= was * self.dying))
+        owner[cold[::-1][: round(self.birth * len(counts))]] = -1
+        if self.drift is not None:
+            self._drift(owner, hot, old >= was)
+        counts = self._newborn(owner, counts, w)
+        counts = self._limited(owner, counts, old)
+        names = np.array([f"new_{w}_{i}" for i in range(int((owner < 0).sum()))], object)
+        out = np.empty(len(counts), object)
+        out[owner >= 0], out[owner < 0] = keys[owner[owner >= 0]], names
+        if self.churn is not None:
+            self._churned(out, owner, counts)
+        return out[counts > 0], counts[counts > 0]
+
+    def _drift(self, owner: np.ndarray, hot: np.ndarray, was_hot: np.ndarray) -> None:
+        """Keys of heavy and other slots swapped until drift of the heavy keys were not heavy before."""
+        mine = owner >= 0
+        fresh = hot & mine & ~was_hot[owner]
+        wanted = min(round(self.drift * hot.sum()), int((hot & mine).sum()))
+        more = wanted - int(fresh.sum())
+        leave = np.flatnonzero(hot & mine & was_hot[owner]) if more > 0 else np.flatnonzero(fresh)
+        enter = np.flatnonzero(~hot & mine & (~was_hot[owner] if more > 0 else was_hot[owner]))
+        k = min(abs(more), len(leave), len(enter))
+        a, b = leave[:k], enter[:k]
+        owner[a], owner[b] = owner[b], owner[a].copy()
+
+    def _newborn(self, owner: np.ndarray, counts: np.ndarray, w: int) -> np.ndarray:
+        """New keys under their cap; what they lose goes to the others, the largest first."""
+        born = np.flatnonzero(owner < 0)
+        line = int(counts.sum()) // self.n + 1
         rng = np.random.default_rng([self.seed, w])
-        out = self._limited(before, dict(now))
-        names = sorted(out, key=lambda k: (-out[k], k))
-        hot, cold = names[: self.n], names[self.n :]
-        for k in hot[: round(self.drift * len(hot))]:
-            if cold:
-                other = cold[int(rng.integers(len(cold)))]
-                out[k], out[other] = out[other], out[k]
-        dying = [names[i] for i in rng.permutation(len(names))[: round(self.birth * len(names))]]
-        for i, k in enumerate(dying):
-            out[f"new_{w}_{i}"] = out.pop(k)
-        return self._churned(before, out) if self.churn else out
-
-    def _limited(self, before: dict[str, int], now: dict[str, int]) -> dict[str, int]:
-        """No key that stays changes by more than most_change of its count; a shift common to all keeps the mass."""
-        both = [k for k in now if k in before]
-        if self.most_change >= 1 or not both:
-            return now
-        old, new = np.array([before[k] for k in both], float), np.array([now[k] for k in both], float)
-        low, high = np.ceil(old * (1 - self.most_change)), np.floor(old * (1 + self.most_change))
-        total = min(max(new.sum(), low.sum()), high.sum())
-        a, b = -new.max() - old.max(), new.max() + old.max() + high.max()
-        for _ in range(80):
-            mid = (a + b) / 2
-            a, b = (mid, b) if np.clip(new + mid, low, high).sum() < total else (a, mid)
-        fitted = np.floor(np.clip(new + b, low, high)).astype(np.int64)
-        for i in np.argsort(fitted - high, kind="stable")[: max(0, int(total - fitted.sum()))]:
-            fitted[i] += fitted[i] < high[i]
-        return now | {k: int(c) for k, c in zip(both, fitted) if c > 0}
-
-    def _churned(self, before: dict[str, int], now: dict[str, int]) -> dict[str, int]:
-        """Counts swapped across rank n until churn of the top n is new; the multiset of counts stays."""
-        top = lambda c: sorted(c, key=lambda k: (-c[k], k))[: self.n]
-        was, out = set(top(before)), dict(now)
-        wanted = round(self.churn * self.n)
-        while True:
-            names = sorted(out, key=lambda k: (-out[k], k))
-            inside, fresh = names[: self.n], [k for k in names[: self.n] if k not in was]
-            if len(fresh) == wanted:
-                return out
-            if len(fresh) < wanted:
-                leave = [k for k in inside if k in was]
-                enter = [k for k in names[self.n :] if k not in was]
-            else:
-                leave, enter = fresh, [k for k in names[self.n :] if k in was]
-            if not leave or not enter or out[leave[-1]] == out[enter[0]]:
-                return out
-            out[leave[-1]], out[enter[0]] = out[enter[0]], out[leave[-1]]
-
-    def run(self, windows: list[dict[str, int]]) -> list[dict[str, int]]:
-        out = windows[:1]
-        for w, now in enumerate(windows[1:], 1):
-            out.append(self.step(out[-1], now, w))
+        hot = rng.permutation(born[counts[born] >= line])[: int(self.newborn_hot * len(born))]
+        cap = np.full(len(counts), max(1, int(line * self.newborn)))
+        cap[hot] = max(line + 1, line * 5 // 4)
+        out = counts.copy()
+        out[born] = np.minimum(out[born], cap[born])
+        rest = np.flatnonzero(owner >= 0) if (owner >= 0).any() else born
+        out[rest] += largest_remainder(int(counts.sum() - out.sum()), np.ones(len(rest)))[::-1]
+        return out
+
+    def _limited(self, owner: np.ndarray, counts: np.ndarray, old: np.ndarray) -> np.ndarray:
+        """A shift common to all, between each key's bounds, that keeps the mass as far as these let it. New keys may only lose."""
+        if self.most_change >= 1 or not len(counts):
+            return counts
+        stays, was = owner >= 0, old[owner]
+        low = np.where(stays, np.floor(was * (1 - self.most_change)), 0).astype(np.int64)
+        high = np.where(stays, np.ceil(was * (1 + self.most_change)), counts).astype(np.int64)
+        total = min(max(int(counts.sum()), int(low.sum())), int(high.sum()))
+        a, b = -int(counts.max()) - 1, int(high.max()) + 1
+        while a < b:  # the largest whole shift that doesn't give more than the total
+            mid = (a + b + 1) // 2
+            a, b = (mid, b) if int(np.clip(counts + mid, low, high).sum()) <= total else (a, mid - 1)
+        out = np.clip(counts + a, low, high)
+        out[np.flatnonzero(np.clip(counts + a + 1, low, high) > out)[: total - int(out.sum())]] += 1
         return out
 
+    def _churned(self, keys: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> None:
+        """Counts swapped across rank `top` until churn of the top is new; the counts as a whole stay."""
+        order = np.lexsort((keys, -counts))
+        size = min(self.top or self.n, len(counts))
+        was = (owner >= 0) & (owner < size)  # places before are ranks before
+        head, tail = order[:size], order[size:]
+        more = round(self.churn * size) - int((~was[head]).sum())
+        leave = head[::-1][was[head[::-1]]] if more > 0 else head[::-1][~was[head[::-1]]]
+        enter = tail[~was[tail]] if more > 0 else tail[was[tail]]
+        k = min(abs(more), len(leave), len(enter))
+        a, b = leave[:k], enter[:k]
+        counts[a], counts[b] = counts[b], counts[a].copy()
 
-def gut_hot_keys(counts: dict[str, int], n: int, share: float, seed: int = 0) -> dict[str, int]:
-    """A violent drift: a share of the hot keys give almost all they have to new keys."""
-    rng, out = np.random.default_rng(seed), dict(counts)
-    mass = sum(counts.values())
-    hot = [k for k in sorted(counts) if counts[k] * n > mass]
-    for i, k in enumerate(rng.permutation(hot)[: round(share * len(hot))].tolist()):
-        given = out[k] - 1
-        out[k] -= given
-        out[f"minted_{i}"] = given
-    return {k: c for k, c in out.items() if c > 0}
+
+def _evolved(rule: Evolution, w: int):
+    def run(before: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
+        keys, made = rule.step(before["key"].to_numpy(object), before["cnt"].to_numpy(np.int64), now["cnt"].to_numpy(np.int64), w)
+        return pd.DataFrame({"key": keys, "cnt": made})
+
+    return run
+
+
+def evolve(counts: DataFrame, rule: Evolution) -> DataFrame:
+    """(window, key, cnt): the first window as it is, each other one's counts on keys that come from the window before.
+
+    Windows follow each other, so each is a job; a window's keys are in one task,
+    in arrays, and never on the driver.
+    """
+    spark = counts.sparkSession
+    path = scratch(spark, "evolved")
+    labels = sorted(r[0] for r in counts.filter("cnt > 0").select("window").distinct().collect())
+    for w, label in enumerate(labels):
+        now = counts.filter((F.col("window") == label) & (F.col("cnt") > 0)).select("key", "cnt")
+        if w:
+            before = spark.read.parquet(f"{path}/window={labels[w - 1]}")
+            now = before.groupBy(F.lit(0).alias("one")).cogroup(now.select("cnt").groupBy(F.lit(0).alias("one"))).applyInPandas(_evolved(rule, w), "key string, cnt long")
+        now.write.parquet(f"{path}/window={label}")
+    if not labels:
+        return counts.select("window", "key", "cnt")
+    return spark.read.schema("key string, cnt long, window long").parquet(path).select("window", "key", "cnt")
+
+
+def gut_hot_keys(counts: DataFrame, n: int, share: float, seed: int = 0) -> DataFrame:
+    """A violent drift of (window, key, cnt): a share of each window's heavy keys give all but one of their count to a new key each."""
+    mass = counts.groupBy("window").agg(F.sum("cnt").alias("mass"))
+    heavy = counts.join(mass, "window").filter(F.col("cnt") * n > F.col("mass")).select("window", "key")
+    order = Window.partitionBy("window").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("key")).cast("binary")))
+    picked = heavy.withColumn("i", F.row_number().over(order)).withColumn("k", F.count("*").over(Window.partitionBy("window")))
+    picked = picked.filter(F.col("i") <= F.round(F.col("k") * share)).select("window", "key", "i")
+    both = counts.join(picked, ["window", "key"], "left")
+    left = both.select("window", "key", F.when(F.col("i").isNotNull(), F.lit(1)).otherwise(F.col("cnt")).cast("long").alias("cnt"))
+    minted = both.filter("i is not null").select("window", F.concat(F.lit("minted_"), F.col("i").cast("string")).alias("key"), (F.col("cnt") - 1).alias("cnt"))
+    return left.unionByName(minted).filter("cnt > 0")

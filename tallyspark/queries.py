@@ -261,10 +261,10 @@ rk AS (SELECT mg.*, row_number() OVER (PARTITION BY "window", bucket ORDER BY es
 
 def exact_cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     local = exact.local_counts(tables.lineitem(spark, d)).withColumn("bucket", bucket_of(F.col("key"), 16))
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("window", "part", "bucket").orderBy(F.desc("cnt"), "key")))
+    ranked = held(local.withColumn("rank", F.row_number().over(Window.partitionBy("window", "part", "bucket").orderBy(F.desc("cnt"), "key"))))  # three branches read it
     cells = ranked.filter("rank <= 3").select("window", "part", "bucket", F.col("key").alias("id"), F.col("cnt").alias("est"), F.col("cnt").alias("lb"))
     residuals = ranked.groupBy("window", "part", "bucket").agg(F.coalesce(F.sum(F.when(F.col("rank") > 3, F.col("cnt"))), F.lit(0)).alias("residual"))
-    return cells, residuals, local.groupBy("window", "part").agg(F.sum("cnt").alias("n_local"))
+    return cells, residuals, ranked.groupBy("window", "part").agg(F.sum("cnt").alias("n_local"))
 
 
 @register("bucket_reduce_items", f"""WITH {CELLS} SELECT "window", id, bucket, est, reporters, lb AS cert_lb, ub AS cert_ub, resolution_part, lb >= threshold AS guaranteed, mass, threshold FROM rk WHERE rank <= 4""")
@@ -606,6 +606,21 @@ def identity_matching(spark, d):
     return generate.match_ranks(counts.withColumn("window", F.col("window") + 1), counts, ("window",))
 
 
+@register("evolved_counts", f"""WITH {EVC} SELECT "window", cnt, count(*) AS keys FROM c GROUP BY ALL""")
+def evolved_counts(spark, d):
+    """How many keys have each count after an evolution that moves keys into and out of the top: counts as a whole stay."""
+    out = generate.evolve(exact.global_counts(tables.events(spark, d)), generate.Evolution(n=60, birth=0.05, newborn=1e9, churn=0.2, top=20))
+    return out.groupBy("window", "cnt").agg(F.count("*").alias("keys"))
+
+
+@register("gutted_hot_keys", f"""WITH {LIC}, m AS (SELECT *, CAST(sum(cnt) OVER (PARTITION BY "window") AS BIGINT) AS mass FROM c),
+h AS (SELECT "window", key, cnt, row_number() OVER (PARTITION BY "window" ORDER BY md5('5|' || key)) AS i, count(*) OVER (PARTITION BY "window") AS k FROM m WHERE cnt * 90 > mass),
+p AS (SELECT * FROM h WHERE i <= round(k * 0.5))
+SELECT c."window", c.key, CAST(CASE WHEN p.i IS NULL THEN c.cnt ELSE 1 END AS BIGINT) AS cnt FROM c LEFT JOIN p ON p."window" = c."window" AND p.key = c.key UNION ALL SELECT "window", 'minted_' || i, cnt - 1 FROM p WHERE cnt > 1""")
+def gutted_hot_keys(spark, d):
+    return generate.gut_hot_keys(exact.global_counts(tables.lineitem(spark, d)), 90, 0.5, seed=5)
+
+
 # Adaptive runs
 
 @register("adaptive_space_saving")

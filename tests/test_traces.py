@@ -321,13 +321,77 @@ def test_generation(spark):
     for w in (0, 9, 55):
         counts = halo.window(w)
         assert counts.sum() == 60_000 and all((counts * n > 60_000).sum() >= k for n, k in ((100, 3), (200, 6), (400, 12)))
-    same = {f"key{i}": 37 * (9 - i) + 4 for i in range(8)}
-    run = generate.Evolution(churn=1 / 3, n=3).run([same] * 3)
-    for before, after in zip(run, run[1:]):
-        tops = [set(sorted(c, key=lambda k: (-c[k], k))[:3]) for c in (before, after)]
-        assert len(tops[1] - tops[0]) == 1 and sorted(after.values()) == sorted(same.values())
-    limited = generate.Evolution(most_change=0.1).run([same, {k: c * 3 for k, c in same.items()}])[1]
-    assert all(limited[k] <= same[k] * 1.1 for k in same)
+
+
+def stepped(rule, windows_of_counts):
+    """[(keys, counts)] of some windows, by steps."""
+    keys = np.array([f"k{i:03}" for i in range(len(windows_of_counts[0]))], object)
+    out = [(keys, np.array(windows_of_counts[0]))]
+    for w, now in enumerate(windows_of_counts[1:], 1):
+        out.append(rule.step(*out[-1], np.array(now), w))
+    return out
+
+
+def skewed(rng, size, total):
+    shape = 1 / np.arange(1, size + 1) ** rng.uniform(0.8, 1.3)
+    return np.maximum(1, np.floor(shape / shape.sum() * total)).astype(np.int64)
+
+
+@pytest.mark.parametrize("churn", [0.0, 0.25, 0.5])
+def test_churn_is_met_and_keeps_counts(churn):
+    rng = np.random.default_rng(3)
+    made = [skewed(rng, 120, 20_000) for _ in range(6)]
+    run = stepped(generate.Evolution(n=20, churn=churn, top=20), made)
+    for (k0, c0), (k1, c1), want in zip(run, run[1:], made[1:]):
+        tops = [set(sorted(k, key=lambda x, k=k, c=c: (-c[list(k).index(x)], x))[:20]) for k, c in ((k0, c0), (k1, c1))]
+        assert len(tops[1] - tops[0]) == round(20 * churn) and sorted(c1) == sorted(want)
+
+
+def test_drift_births_and_caps():
+    rng = np.random.default_rng(4)
+    made = [skewed(rng, 150, 30_000) for _ in range(5)]
+    rule = generate.Evolution(n=40, birth=0.1, drift=0.5, newborn=0.5)
+    run = stepped(rule, made)
+    for (k0, c0), (k1, c1), want in zip(run, run[1:], made[1:]):
+        assert c1.sum() == want.sum() and len(set(k1)) == len(k1)
+        line0, line1 = c0.sum() // 40 + 1, c1.sum() // 40 + 1
+        hot = {k for k, c in zip(k1, c1) if c >= line1}
+        fresh = hot - {k for k, c in zip(k0, c0) if c >= line0}
+        assert abs(len(fresh) - 0.5 * len(hot)) <= 2
+        born = set(k1) - set(k0)
+        assert len(born) == 15 and all(c <= line1 * 0.5 + 1 for k, c in zip(k1, c1) if k in born)
+
+
+def test_change_is_limited():
+    rng = np.random.default_rng(5)
+    made = [skewed(rng, 60, t) for t in (9000, 9000, 30_000, 5000)]
+    run = stepped(generate.Evolution(most_change=0.1), made)
+    for (k0, c0), (k1, c1), want in zip(run, run[1:], made[1:]):
+        old = dict(zip(k0, c0))
+        assert all(math.floor(old[k] * 0.9) <= c <= math.ceil(old[k] * 1.1) for k, c in zip(k1, c1))
+        low, high = sum(math.floor(c * 0.9) for c in c0), sum(math.ceil(c * 1.1) for c in c0)
+        assert c1.sum() == min(max(want.sum(), low), high)
+
+
+def test_evolution_of_frames(spark):
+    rng = np.random.default_rng(6)
+    made = [skewed(rng, 50, 5000) for _ in range(3)]
+    frame = spark.createDataFrame([(10 + w, f"k{i:03}", int(c)) for w, m in enumerate(made) for i, c in enumerate(m)], "window long, key string, cnt long")
+    rule = generate.Evolution(n=20, birth=0.1, churn=0.2, top=10, most_change=0.5)
+    got = {w: {} for w in (10, 11, 12)}
+    for r in generate.evolve(frame, rule).collect():
+        got[r.window][r.key] = r.cnt
+    for (keys, counts), w in zip(stepped(rule, made), got):
+        assert got[w] == dict(zip(keys, counts.tolist()))
+    assert generate.evolve(frame.limit(0), rule).count() == 0
+
+
+def test_gutted_keys_give_to_new_ones(spark):
+    frame = spark.createDataFrame([(w, f"k{i}", 400 - 50 * i if i < 4 else 2) for w in (0, 1) for i in range(104)], "window long, key string, cnt long")
+    got = generate.gut_hot_keys(frame, 10, 0.5, seed=1)
+    assert got.agg(F.sum("cnt")).first()[0] == frame.agg(F.sum("cnt")).first()[0]
+    hot = frame.filter("cnt > 160").count() // 2
+    assert got.filter("key like 'minted_%'").count() == got.filter("cnt = 1").count() == 2 * round(hot * 0.5)
 
 
 @pytest.mark.parametrize("a, b", [([3, 11, 6], [12, 2, 2]), ([5, 5, 1], [9, 4, 7]), ([20, 2, 13, 8], [1, 17, 17, 6])])
