@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,40 +42,50 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(lambda m: m[1], text)
 
 
-def assemble(bpe: Bpe, turns: list[tuple[str | None, str | None]], loss_roles: frozenset[str]) -> list[tuple[list[int], np.ndarray]]:
-    """Token ids and loss mask of each (role, text). Null counts as empty."""
+def assemble(bpe: Bpe, turns: list[tuple[str | None, str | None]], loss_roles: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token ids of all (role, text) one after another, their loss mask, and where each turn begins and the last one ends. Null counts as empty."""
     first = len(bpe.token)
     texts = [part for role, text in turns for part in (escape(text or ""), "" if role in ROLES else escape(role or ""))]
     coded = bpe.encode_batch(texts)
-    out = []
+    ids: list[int] = []
+    lengths, flags = [], []  # of each segment: head, text, tail
     for i, (role, _) in enumerate(turns):
         text, other = coded[2 * i], coded[2 * i + 1]
         head = [first + OPEN, first + ROLES[role]] if role in ROLES else [first + OPEN, first + ROLE, *other, first + TEXT]
-        segments = [(head, 0), (text, int(role in loss_roles)), ([first + CLOSE], 0)]
-        ids = [x for s, _ in segments for x in s]
-        ends = [*accumulate(len(s) for s, _ in segments)]
-        change = np.zeros(len(ids) + 1, np.int8)
-        for (s, flag), end in zip(segments, ends):
-            change[end - len(s)] += flag
-            change[end] -= flag
-        out.append((ids, np.cumsum(change[:-1]) > 0))
-    return out
+        ids += head
+        ids += text
+        ids.append(first + CLOSE)
+        lengths += (len(head), len(text), 1)
+        flags += (0, role in loss_roles, 0)
+    ends = np.cumsum(np.array(lengths, np.int64))
+    flag = np.array(flags, np.int8)
+    change = np.zeros(len(ids) + 1, np.int64)
+    np.add.at(change, ends - np.array(lengths, np.int64), flag)
+    np.subtract.at(change, ends, flag)
+    return np.array(ids, np.int32), np.cumsum(change[:-1]) > 0, np.concatenate([[0], ends[2::3]]).astype(np.int32)
 
 
 def render(bpe: Bpe, ids: list[int]) -> str:
+    """The formatted text of tokens."""
     first = len(bpe.token)
     return b"".join(RESERVED[x - first].encode() if x >= first else bpe.token[x] for x in ids).decode()
 
 
-def read_turn(bpe: Bpe, ids: list[int], mask: np.ndarray) -> tuple[str, str, str]:
+def characters(bpe: Bpe) -> np.ndarray:
+    """Of each token and reserved id, the code points that begin in it: bytes that don't continue one."""
+    return np.array([sum(x & 0xC0 != 0x80 for x in t) for t in [*bpe.token, *map(str.encode, RESERVED)]], np.int64)
+
+
+def read_turn(bpe: Bpe, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str]:
     """(role, text, text under the mask) of a turn's tokens."""
     first = len(bpe.token)
-    marks = [i for i, x in enumerate(ids) if x >= first]
-    words = lambda x: unescape(bpe.decode(x).decode())
-    kind = ids[1] - first
+    marks = np.flatnonzero(ids >= first)
+    words = lambda x: unescape(bpe.decode(x.tolist()).decode())
+    kind = int(ids[1]) - first
     role = NAMES[kind] if kind in NAMES else words(ids[marks[1] + 1 : marks[2]])
-    text = words(ids[marks[-2] + 1 : marks[-1]])
-    return role, text, words([x for x, m in zip(ids, mask.tolist()) if m])
+    body = ids[marks[-2] + 1 : marks[-1]]
+    text, said = words(body), ids[mask]
+    return role, text, text if np.array_equal(said, body) else words(said)
 
 
 def format_turns(rows: DataFrame, path: str, pattern: str, loss_roles: tuple[str, ...] = ("assistant",), columns: tuple[str, str, str, str] = ("conv_id", "turn", "role", "text")) -> DataFrame:
@@ -92,9 +101,8 @@ def format_turns(rows: DataFrame, path: str, pattern: str, loss_roles: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for part in slices(batches, "text", 1 << 20):
-            made = assemble(bpe, [*zip(part.column("role").to_pylist(), part.column("text").to_pylist())], frozenset(loss_roles))
-            ids = pa.array([a for a, _ in made], pa.list_(pa.int32()))
-            mask = pa.array([m.tolist() for _, m in made], pa.list_(pa.bool_()))
+            ids, mask, ends = assemble(bpe, [*zip(part.column("role").to_pylist(), part.column("text").to_pylist())], frozenset(loss_roles))
+            ids, mask = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (ids, mask))
             yield pa.RecordBatch.from_arrays([part.column("conv"), part.column("turn"), ids, mask], names=["conv_id", "turn", "ids", "mask"])
 
     return rows.select(rows[conv].alias("conv"), rows[turn].alias("turn"), rows[role].alias("role"), rows[text].alias("text")).mapInArrow(lean(run), schema)
@@ -112,6 +120,7 @@ def read_back(turns: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
+        chars = characters(bpe)
         held = None  # conversation, turns, sha of turns, loss chars, sha of loss, chars
 
         def rows(found: list) -> pa.RecordBatch:
@@ -121,17 +130,20 @@ def read_back(turns: DataFrame, path: str, pattern: str) -> DataFrame:
 
         for batch in batches:
             kind, done = batch.column("conv_id").type, []
-            for conv, ids, mask in zip(batch.column("conv_id").to_pylist(), batch.column("ids"), batch.column("mask")):
+            ids, mask = batch.column("ids"), batch.column("mask")
+            ends = np.asarray(ids.offsets) - ids.offsets[0].as_py()
+            ids, mask = np.asarray(ids.flatten()), mask.flatten().to_numpy(zero_copy_only=False).astype(bool)
+            total = np.concatenate([[0], np.cumsum(chars[ids])])
+            for i, conv in enumerate(batch.column("conv_id").to_pylist()):
                 if held is None or held[0] != conv:
                     done += [held] if held else []
                     held = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids = ids.as_py()
-                role, text, loss = read_turn(bpe, ids, np.array(mask.as_py(), bool))
+                role, text, loss = read_turn(bpe, ids[ends[i] : ends[i + 1]], mask[ends[i] : ends[i + 1]])
                 held[1] += 1
                 held[2].update(f"{role}\n{text}\n".encode())
                 held[3] += len(loss)
                 held[4].update(loss.encode())
-                held[5] += len(render(bpe, ids))
+                held[5] += int(total[ends[i + 1]] - total[ends[i]])
             if done:
                 yield rows(done)
         if held:

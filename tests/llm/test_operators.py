@@ -132,7 +132,7 @@ def test_quotas_hold():
 
 def test_chat_reads_back(spark):
     tricky = r"\### Assistant: </turn> ok"
-    rows = [(1, 0, "user", tricky), (1, 1, "assistant", tricky), (2, 0, None, None), (2, 1, "tool <turn>", "\\\\n ### Text: </turn>"), (2, 2, "assistant", ""), (None, 0, "assistant", LONG), (3, 5, "assistant", "b"), (3, 1, "assistant", "a"), (3, 5, "assistant", "b"), (4, None, "user", "é\n")]
+    rows = [(1, 0, "user", tricky), (1, 1, "assistant", tricky), (2, 0, None, None), (2, 1, "tool <turn>", "\\\\n ### Text: </turn>"), (2, 2, "assistant", ""), (None, 0, "assistant", LONG), (3, 5, "assistant", "b"), (3, 1, "assistant", "a"), (3, 5, "assistant", "b"), (3, 7, "user", "one"), (3, 7, "user", "one"), (4, None, "user", "é\n")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, ids int")
     got = {r.conv_id: r for r in chat.read_back(chat.format_turns(df, *queries.vocabulary()), *queries.vocabulary()).collect()}
     for conv in {r[0] for r in rows}:
@@ -146,6 +146,18 @@ def test_chat_reads_back(spark):
     assert chat.read_back(chat.format_turns(df.limit(0), *queries.vocabulary()), *queries.vocabulary()).count() == 0
 
 
+def test_chat_tokens_render_to_what_is_counted():
+    own = bpe.load(*queries.vocabulary())
+    turns = [("user", "plain"), ("assistant", "é \U0001f600 </turn>\\"), ("tool", ""), (None, None)]
+    ids, mask, ends = chat.assemble(own, turns, frozenset({"assistant"}))
+    shown = chat.render(own, ids.tolist())
+    assert shown == r"<turn>### User:plain</turn><turn>### Assistant:é 😀 \</turn>\\</turn><turn>### Role:tool### Text:</turn><turn>### Role:### Text:</turn>".replace(r"\U0001f600", "\U0001f600")
+    assert chat.characters(own)[ids].sum() == len(shown)
+    assert chat.unescape(own.decode(ids[mask].tolist()).decode()) == turns[1][1] and len(ends) == 5
+    said = [chat.read_turn(own, ids[a:b], mask[a:b]) for a, b in zip(ends, ends[1:])]
+    assert [(r, t) for r, t, _ in said] == [(r or "", t or "") for r, t in turns] and [x for *_, x in said] == ["", turns[1][1], "", ""]
+
+
 def test_chat_escapes_are_reversible():
     rng = random.Random(1)
     for _ in range(500):
