@@ -17,7 +17,7 @@ import heapq
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 from itertools import chain
 from operator import itemgetter
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from .common import HashTable, lean, slices, with_columns
+from .common import KEPT, HashTable, lean, slices, with_columns
 
 NONE = np.int32(2**31 - 1)
 #: Code points that became letters or numbers after Unicode 16, the
@@ -66,10 +66,15 @@ class Bpe:
                 x, y = ranks.get(b[:i]), ranks.get(b[i:])
                 if x is not None and y is not None:
                     pairs[x << 32 | y] = r
-        self.pairs = pairs
         self.ranked = HashTable(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)), NONE)
         self.known: dict[str, tuple[int, ...]] = {}
 
+    @cache  # noqa: B019 - a worker has one vocabulary
+    def pairs(self) -> dict[int, int]:
+        """The table of pairs as a dictionary: only long rows look pairs up one by one."""
+        used = np.flatnonzero(self.ranked.keys >= 0)
+        return dict(zip(self.ranked.keys[used].tolist(), self.ranked.values[used].tolist()))
+
     def pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Rank of each pair of token ids, NONE where they don't merge or one is padding (-1)."""
         return self.ranked.get((x.astype(np.int64) << 32 | y.astype(np.int64) & 0xFFFFFFFF).ravel()).reshape(x.shape)
@@ -115,7 +120,7 @@ class Bpe:
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
-        after, before, pairs = [*range(1, n + 1)], [*range(-1, n - 1)], self.pairs
+        after, before, pairs = [*range(1, n + 1)], [*range(-1, n - 1)], self.pairs()
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
@@ -179,6 +184,14 @@ class Bpe:
         return b"".join(map(self.token.__getitem__, ids))
 
 
+def _forget() -> None:
+    load.cache_clear()
+    Bpe.pairs.cache_clear()
+
+
+KEPT["bpe"] = _forget
+
+
 @lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> Bpe:
     """The vocabulary of a rank file: lines of a base64 token and its rank. Each Python worker reads it once."""
@@ -212,4 +225,4 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
                 cols, names = [*cols, pa.array(all_ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run), schema)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run, "bpe"), schema)

@@ -105,7 +105,7 @@ def format_turns(rows: DataFrame, path: str, pattern: str, loss_roles: tuple[str
             ids, mask = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (ids, mask))
             yield pa.RecordBatch.from_arrays([part.column("conv"), part.column("turn"), ids, mask], names=["conv_id", "turn", "ids", "mask"])
 
-    return rows.select(rows[conv].alias("conv"), rows[turn].alias("turn"), rows[role].alias("role"), rows[text].alias("text")).mapInArrow(lean(run), schema)
+    return rows.select(rows[conv].alias("conv"), rows[turn].alias("turn"), rows[role].alias("role"), rows[text].alias("text")).mapInArrow(lean(run, "bpe"), schema)
 
 
 def read_back(turns: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -150,4 +150,4 @@ def read_back(turns: DataFrame, path: str, pattern: str) -> DataFrame:
             yield rows([held])
 
     schema = with_columns({"conv_id": turns.schema["conv_id"].dataType}, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ids").mapInArrow(lean(run), schema)
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ids").mapInArrow(lean(run, "bpe"), schema)

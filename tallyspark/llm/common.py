@@ -38,11 +38,16 @@ def with_columns(named: dict[str, DataType], rest: str) -> StructType:
 BATCH_BYTES = 8 << 20
 
 
-def lean(run: Callable) -> Callable:
+#: What a Python worker keeps between tasks, by the operator that uses it, and how to let go of it.
+KEPT: dict[str, Callable[[], object]] = {}
+
+
+def lean(run: Callable, uses: str = "") -> Callable:
     """run for mapInArrow, with small batches coming in and its memory given back to the system at the end.
 
-    Python workers serve one task after another, each with what the last one left;
-    the batch limit of the session is only ever lowered.
+    Python workers serve one task after another, each with what the last one left:
+    a task first lets go of what other operators keep. The batch limit of the
+    session is only ever lowered.
     """
     spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark and spark.conf.get(key, None)
@@ -50,6 +55,11 @@ def lean(run: Callable) -> Callable:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
     def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = [forget for name, forget in KEPT.items() if name != uses]
+        for forget in others:
+            forget()
+        if others:
+            release()
         try:
             yield from run(batches)
         finally:

@@ -158,7 +158,7 @@ def t_occurrence(sets: list[np.ndarray], percent: int, asks: np.ndarray) -> Iter
 
 
 #: Classes that a task remembers as met.
-MET = 1 << 20
+MET = 1 << 16
 
 
 def _sets(width: int, percent: int):
@@ -168,11 +168,12 @@ def _sets(width: int, percent: int):
             found = shingles(part.column("text").to_pylist(), width)
             digests, signatures = [*map(digest, found)], []
             for s, d, has_id in zip(found, digests, part.column("doc").is_valid().to_pylist()):
-                new = len(s) and has_id and d not in met
+                one = (d[1] << 64) + d[0]
+                new = len(s) and has_id and one not in met
                 signatures.append(parts.signatures(s) if new else None)
                 if new:
                     met = met if len(met) < MET else set()
-                    met.add(d)
+                    met.add(one)
             lo, hi = zip(*digests)
             cols = [part.column("row"), part.column("doc"), part.column("carry"), pa.array([len(s) for s in found], pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(signatures, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["row", "doc", "carry", "n", "lo", "hi", "signatures"])

@@ -88,7 +88,7 @@ class Automaton:
         self.root[[*to[1]]] = np.fromiter(to[1].values(), np.int64) << 32
 
     def symbols(self, cp: np.ndarray) -> np.ndarray:
-        known = np.zeros(int(self.alphabet[-1]) + 2, np.int64)
+        known = np.zeros(int(self.alphabet[-1]) + 2, np.int32)
         known[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
         return known[np.minimum(cp, len(known) - 1)]
 
@@ -128,7 +128,7 @@ class Automaton:
                 followed[k + 1 : after[k]] = False
         k = np.flatnonzero(followed)
         came = np.where(k == first[k], start[k], np.concatenate([[0], joins[k[:-1]]])[: len(k)])
-        total = np.concatenate([[0], np.cumsum(begun)])
+        total = np.concatenate([np.zeros(1, np.int32), np.cumsum(begun, dtype=np.int32)])
         count = total[np.minimum(start[k] + STRETCH, limit[k])] - total[came] + beyond[k]
         return np.bincount(text[k], weights=count, minlength=len(size)).astype(np.int64)
 
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, learned_from: DataFrame, sample: Sample | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = shared.value
         letter, langs = is_letter(), [*automata]
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 1 << 20):
             bits, letters = parse(part.column("text").to_pylist(), automata, letter)
             if langs:
                 best = bits.argmin(axis=1)
