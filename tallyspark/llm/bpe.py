@@ -17,7 +17,6 @@ import heapq
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache, lru_cache
 from itertools import chain
 from operator import itemgetter
 
@@ -42,7 +41,7 @@ NEWER = re.compile("[" + "".join("-".join(re.escape(chr(int(x, 16))) for x in pa
 UNASSIGNED = "\u0378"
 LONG = 192
 #: Most pieces that a worker remembers between batches, and the longest such piece.
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 120_000, 64
 
 
 class Bpe:
@@ -68,12 +67,14 @@ class Bpe:
                     pairs[x << 32 | y] = r
         self.ranked = HashTable(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)), NONE)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.dictionary: dict[int, int] | None = None
 
-    @cache  # noqa: B019 - a worker has one vocabulary
     def pairs(self) -> dict[int, int]:
         """The table of pairs as a dictionary: only long rows look pairs up one by one."""
-        used = np.flatnonzero(self.ranked.keys >= 0)
-        return dict(zip(self.ranked.keys[used].tolist(), self.ranked.values[used].tolist()))
+        if self.dictionary is None:
+            used = np.flatnonzero(self.ranked.keys >= 0)
+            self.dictionary = dict(zip(self.ranked.keys[used].tolist(), self.ranked.values[used].tolist()))
+        return self.dictionary
 
     def pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Rank of each pair of token ids, NONE where they don't merge or one is padding (-1)."""
@@ -184,19 +185,26 @@ class Bpe:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-def _forget() -> None:
-    load.cache_clear()
-    Bpe.pairs.cache_clear()
+LOADED: dict[tuple[str, str], Bpe] = {}
+
+
+def _forget(everything: bool) -> None:
+    for x in LOADED.values():
+        x.known, x.dictionary = {}, None
+    if everything:
+        LOADED.clear()
 
 
 KEPT["bpe"] = _forget
 
 
-@lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> Bpe:
     """The vocabulary of a rank file: lines of a base64 token and its rank. Each Python worker reads it once."""
-    with open(path, "rb") as f:
-        return Bpe({base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}, pattern)
+    if (path, pattern) not in LOADED:
+        LOADED.clear()  # one at a time
+        with open(path, "rb") as f:
+            LOADED[path, pattern] = Bpe({base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}, pattern)
+    return LOADED[path, pattern]
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -211,7 +219,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 1 << 20):
             counts, coded, decoded, all_ids = [], [], [], []
             for ids in bpe.encode_batch([t or "" for t in part.column("text").to_pylist()]):
                 counts.append(len(ids))

@@ -35,11 +35,11 @@ def with_columns(named: dict[str, DataType], rest: str) -> StructType:
 
 
 #: Most bytes of an Arrow batch on its way to Python: texts may be long.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
-#: What a Python worker keeps between tasks, by the operator that uses it, and how to let go of it.
-KEPT: dict[str, Callable[[], object]] = {}
+#: What a Python worker keeps between tasks, by the operator that uses it: how to let go of what is soon made again, or (True) of all.
+KEPT: dict[str, Callable[[bool], object]] = {}
 
 
 def lean(run: Callable, uses: str = "") -> Callable:
@@ -57,12 +57,14 @@ def lean(run: Callable, uses: str = "") -> Callable:
     def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = [forget for name, forget in KEPT.items() if name != uses]
         for forget in others:
-            forget()
+            forget(True)
         if others:
             release()
         try:
             yield from run(batches)
         finally:
+            if uses:
+                KEPT[uses](False)
             release()
 
     return freed
@@ -79,7 +81,7 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Each batch, cut into runs of rows whose `text` has about `limit` bytes (one row at least)."""
     for batch in batches:
         n = batch.num_rows

@@ -192,11 +192,16 @@ def identify(docs: DataFrame, learned_from: DataFrame, sample: Sample | None = N
     # built once, on the driver; some 200 bytes a sampled character, so bounded by Sample
     shared = spark.sparkContext.broadcast({k: Automaton(samples[k]) for k in sorted(samples)})
     names = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep else [id_col]
+    place = names.index(text_col) if text_col in names else None
+
+    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch if place is None else batch.append_column("text", batch.column("row").field(place))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = shared.value
         letter, langs = is_letter(), [*automata]
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(with_text(batches), "text", 1 << 20):
             bits, letters = parse(part.column("text").to_pylist(), automata, letter)
             if langs:
                 best = bits.argmin(axis=1)
@@ -208,6 +213,7 @@ def identify(docs: DataFrame, learned_from: DataFrame, sample: Sample | None = N
             cols = [part.column("row"), pa.array(pred, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(cols, names=["row", "lang_pred", "score"])
 
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].alias("text"))
+    # a text that comes back with its row goes to Python once
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), *[docs[text_col].alias("text")] * (place is None))
     out = rows.mapInArrow(lean(run), with_columns({"row": rows.schema["row"].dataType}, "lang_pred string, score double"))
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "lang_pred", "score")

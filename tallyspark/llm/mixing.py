@@ -119,7 +119,8 @@ def mix(docs: DataFrame, levels: list[Column], mixture: Mixture, id_col: str = "
     same = some["bucket"] == last["e_bucket"]
     for x in leaf:
         same = same & some[x].eqNullSafe(last[f"e_{x}"])
-    inside = some.join(last, same)
+    # rows of one hash count as one, however often an id repeats
+    inside = some.join(last, same).groupBy(*leaf, "bucket", "bits", "rest", "before", "at").agg(F.sum("tokens").alias("tokens"))
     running = F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("at"))  # with rows of equal hash
     cuts = inside.withColumn("sum", F.col("before") + running).groupBy(*leaf, "bucket", "bits").agg(F.max(F.when(F.col("sum") <= F.col("rest"), F.col("at"))).alias("last"))
     # without a row that fits, the prefix ends before the bucket
