@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import ordered_counts
+
 EVENT = "window long, part int, pos long, key string, weight long"
 
 
@@ -329,6 +331,18 @@ def write_counts_jsonl(counts: DataFrame, path: str) -> None:
     rows.groupBy("window", "line").agg(F.map_from_entries(entries).alias("counts")).orderBy("window", "line").drop("line").write.mode("overwrite").json(path)
 
 
+def write_tag_windows(tags: DataFrame, path: str, hours: float = 24.0) -> None:
+    """(created, tag) events in windows of hours from UTC midnight of the first one: lines of counts in path/counts, with {} for empty windows, and path/metadata.json."""
+    events = tags.select(F.to_timestamp("created").alias("ts"), F.col("tag").alias("key")).filter("ts is not null")
+    counts = ordered_counts(events, "ts", "key", hours)
+    order = Window.partitionBy("window").orderBy("key")
+    rows = counts.withColumn("line", F.floor((F.row_number().over(order) - 1) / KEYS))
+    entry = F.when(F.col("cnt") > 0, F.struct("key", "cnt"))
+    rows.groupBy("window", "line").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("counts")).orderBy("window", "line").drop("line").write.mode("overwrite").json(f"{path}/counts")
+    told = events.agg(F.min("ts").alias("first_event"), F.max("ts").alias("last_event"), F.count("*").alias("events"), F.count_distinct("key").alias("tags")).withColumn("window_hours", F.lit(float(hours)))
+    told.coalesce(1).write.mode("overwrite").json(f"{path}/metadata.json")
+
+
 def _digits(column: str) -> Column:
     """A number as text of ten significant digits; NaN and absent are empty."""
     return F.when(F.col(column).isNull() | F.isnan(column), F.lit(None).cast("string")).otherwise(F.format_string("%.9e", F.col(column)).cast("double").cast("string"))

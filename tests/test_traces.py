@@ -152,6 +152,22 @@ def test_hashtag_blocks(spark, tmp_path):
     assert rows(streams.read_hashtag_blocks(spark, str(tmp_path / "x.n3")), "created", "tag") == [("2020-01-01T00:00:00Z", "news")]
 
 
+def test_tag_windows(spark, tmp_path):
+    tags = spark.createDataFrame([("2020-01-01T05:00:00Z", "a"), ("2020-01-01T06:00:00Z", "a"), ("2020-01-03T00:00:00Z", "b")], "created string, tag string")
+    streams.write_tag_windows(tags, str(tmp_path / "w"))
+    lines = sorted((x for f in (tmp_path / "w" / "counts").glob("*.json") for x in map(json.loads, f.read_text().splitlines())), key=lambda x: x["window"])
+    assert lines == [{"window": 0, "counts": {"a": 2}}, {"window": 1, "counts": {}}, {"window": 2, "counts": {"b": 1}}]
+    told = [json.loads(f.read_text()) for f in (tmp_path / "w" / "metadata.json").glob("*.json")][0]
+    assert (told["events"], told["tags"], told["window_hours"]) == (3, 2, 24.0)
+
+
+def test_policies_by_schedule(spark, adversary_input):
+    placed = placement.scheduled(adversary_input, 4, [(1, "round_robin"), (1, "source_prefix_locality")], n=N, seed=1)
+    assert windows.preserved(adversary_input, placed).count() == 0
+    spread = {r.window: r.most for r in placed.groupBy("window", "key").agg(F.count("*").alias("parts")).groupBy("window").agg(F.max("parts").alias("most")).collect()}
+    assert spread == {0: 4, 1: 1}
+
+
 def test_windows_refuse_gaps_and_bad_counts(spark):
     counts = spark.createDataFrame([(0, "a", 1), (2, "a", 1)], "window long, key string, cnt long")
     with pytest.raises(ValueError):
