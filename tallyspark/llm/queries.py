@@ -99,8 +99,9 @@ _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '
 OP1_SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
-g AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM w, (SELECT unnest([3, 5, 8, 10]) AS n) WHERE len(w) >= n),
-d AS (SELECT doc_id, n, i FROM (SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, array_to_string(w[i:i + n - 1], ' ')) AS c FROM g) WHERE c > 1),
+t10 AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS w FROM p),
+g AS (SELECT doc_id, n, i, array_to_string(w[1:n], ' ') AS gram FROM t10, (SELECT unnest([3, 5, 8, 10]) AS n) WHERE len(w) >= n),
+d AS (SELECT doc_id, n, i FROM (SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, gram) AS c FROM g) WHERE c > 1),
 v AS (SELECT DISTINCT doc_id, n, i + unnest(range(0, n)) AS i FROM d),
 c AS (SELECT doc_id, count(*) FILTER (WHERE n = 8) AS n_repeat_words, sum(length(word)) FILTER (WHERE n = 3) AS c3, sum(length(word)) FILTER (WHERE n = 5) AS c5,
              sum(length(word)) FILTER (WHERE n = 8) AS c8, sum(length(word)) FILTER (WHERE n = 10) AS c10 FROM v JOIN p USING (doc_id, i) GROUP BY doc_id),
