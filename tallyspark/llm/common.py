@@ -81,6 +81,14 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files and checkpoints that nothing refers to any more leave the disk now, not when the driver happens to collect its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Each batch, cut into runs of rows whose `text` has about `limit` bytes (one row at least)."""
     for batch in batches:

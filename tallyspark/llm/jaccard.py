@@ -8,6 +8,10 @@
    its h + 1 fullest parts, and the fullest part that agrees is always among them.
    Equal signatures give candidate groups (their connected components): no link
    crosses two groups, and a signature of many texts makes a star, not all pairs.
+   The larger the corpus, the more groups hang together by chance: those too large
+   for one search are split by their n-grams. In order of the texts of the group that
+   hold them, rarest first, two sets that link share one of their first n - least
+   overlap + 1; only n-grams of two texts or more can be that one.
 3. Within a candidate group, inverted lists of the n-grams answer T-occurrence
    searches: DivideSkip sets a query's longest lists aside, heap-merges the short
    ones, and probes the long ones by binary search for what the merge found. Large
@@ -26,11 +30,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import cut, lean, mix64, slices, with_columns, written
+from .common import cut, lean, let_go, mix64, slices, with_columns, written
 from .graph import components, forest
 
 MIX = np.uint64(0xD1342543DE82EF95)
@@ -246,6 +250,62 @@ def _grams(width: int):
     return run
 
 
+def _loose_grams(width: int):
+    """(root, gram, node): each n-gram of the texts by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 20):
+            found = shingles(part.column("text").to_pylist(), width)
+            same = [digest(s) == (x, y) for s, x, y in zip(found, part.column("lo").to_pylist(), part.column("hi").to_pylist())]
+            found = [s if ok else s[:0] for s, ok in zip(found, same)]
+            count = [len(s) for s in found]
+            root, node = (np.repeat(np.asarray(part.column(c)), count) for c in ("root", "node"))
+            yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(np.concatenate(found).view(np.int64)), pa.array(node)], names=["root", "gram", "node"])
+
+    return run
+
+
+#: Texts of an n-gram that are counted; n-grams of more are equally common.
+COMMON = 1 << 12
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by root, gram and node: those of n-grams that several nodes of a root hold, each once, with their number (COMMON at most)."""
+    kept, many = np.zeros((3, 0), np.int64), False  # the last run so far; many: it has COMMON, and what it had went on
+
+    def several(rows: np.ndarray, more: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of runs of two and more, and their counts; more: the first run is one of COMMON."""
+        new = np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])
+        run = np.cumsum(new) - 1
+        count = np.minimum(np.bincount(run), COMMON)
+        count[0] = COMMON if more else count[0]
+        on = count[run] > 1
+        return rows[:, on], count[run][on]
+
+    def out(rows: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows, count)], names=["root", "gram", "node", "held"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.concatenate([kept, np.stack([np.asarray(batch.column(c)) for c in ("root", "gram", "node")])], axis=1)
+        rows = rows[:, np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)])]
+        last = (rows[:2] == rows[:2, -1:]).all(axis=0)
+        start = int(np.argmax(last))  # of the last run, which may go on
+        grown = len(last) - start >= COMMON or (many and not start)
+        # of a run that is long enough its last node alone waits, so that a repeated one is seen
+        cut_at = len(last) - 1 if grown else start
+        if cut_at:
+            here, count = several(rows[:, :cut_at], many)
+            if grown:  # its last node isn't among these rows, but it counts
+                tail = (here[:2] == rows[:2, -1:]).all(axis=0)
+                count[tail] = COMMON
+            yield out(here, count)
+        kept, many = rows[:, cut_at:], grown
+    if kept.shape[1]:
+        yield out(*several(kept, many))
+
+
 @dataclass(frozen=True)
 class Join:
     documents: DataFrame  # id, n_shingles, n_links, component_id, component_row (one number a component), carry
@@ -256,6 +316,46 @@ class Join:
 #: Most classes whose place in the search is broadcast; more are joined by shuffle.
 BROADCAST = 1 << 17
 
+#: Most words of the filter by which rows of other ids are left out of such a shuffle.
+WORDS = 1 << 20
+
+
+def _with_texts(rows: DataFrame, places: DataFrame, count: int) -> DataFrame:
+    """rows joined by doc with places, of which there are `count`. Of many, a filter with two of 16 bits an id comes first, so that hardly a text is shuffled in vain."""
+    if count <= BROADCAST:
+        return rows.join(F.broadcast(places), "doc")
+    word = F.pmod(F.xxhash64("doc"), F.lit(min(WORDS, count // 4 + 1))).cast("int")
+    mask = F.expr("shiftleft(1L, CAST(shiftrightunsigned(xxhash64(doc), 58) AS INT)) | shiftleft(1L, CAST(shiftrightunsigned(xxhash64(doc), 52) & 63 AS INT))")
+    words = places.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
+    some = rows.withColumn("word", word).join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(mask) == mask)
+    return some.drop("word", "bits").join(places, "doc")
+
+
+def _sized(placed: DataFrame, block: int, most_sets: int) -> DataFrame:
+    """(root, k, grams, blocks) of the groups; those of one class have nothing to search."""
+    totals = placed.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("grams")).filter("k > 1")
+    return totals.withColumn("blocks", F.greatest(F.ceil(F.col("grams") / block), F.ceil(F.col("k") / most_sets)).cast("int"))
+
+
+def _rooted(pairs: DataFrame) -> DataFrame:
+    """(node, root) of all nodes of what components gives, roots included."""
+    return pairs.select(F.col("v").alias("node"), "root").union(pairs.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _split(rows: DataFrame, placed: DataFrame, large: DataFrame, width: int, percent: int) -> DataFrame:
+    """placed, with the groups of `large` split by the n-grams that their sets' prefixes share; sets that share none are left out."""
+    own = cut(placed.join(large.select("root"), "root"))
+    texts = _with_texts(rows, own.select("doc", "lo", "hi", "node", "root"), own.count()).select("text", "lo", "hi", "node", "root")
+    loose = texts.mapInArrow(lean(_loose_grams(width)), "root long, gram long, node long")
+    common = loose.repartition("root", "gram").sortWithinPartitions("root", "gram", "node").mapInArrow(lean(_common), "root long, gram long, node long, held long")
+    # n-grams of one text come first in a prefix, and link nothing
+    ranked = common.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("held", "gram"))).withColumn("m", F.count("*").over(Window.partitionBy("node")))
+    prefix = ranked.join(own.select("node", "n"), "node").filter(F.col("nth") <= F.col("m") + 1 - F.ceil(F.col("n") * percent / 100))
+    marks = prefix.select(F.xxhash64("root", "gram").alias("sig"), F.col("node").alias("row"))
+    near = marks.repartition("sig").sortWithinPartitions("sig", "row").mapInArrow(lean(_stars), "a long, b long").distinct()
+    again = own.drop("root").join(_rooted(components(near)), "node")
+    return cut(placed.join(large.select("root"), "root", "left_anti").unionByName(again))
+
 
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 21, most_sets: int = 1 << 13, pairs: bool = True, carry: Column | None = None) -> Join:
     """The rows of docs with their links; every link between classes; and the classes' members.
@@ -282,12 +382,13 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 
     marks = sets.filter("signatures is not null").select(F.explode("signatures").alias("sig"), "row")
     near = marks.repartition("sig").sortWithinPartitions("sig", "row").mapInArrow(lean(_stars), "a long, b long").distinct()
-    groups = components(near)
-    grouped = groups.select(F.col("v").alias("node"), "root").union(groups.select(F.col("root").alias("node"), "root").distinct())
-    placed = cut(classes.join(grouped, "node"))
-    # groups of one class have nothing to search
-    totals = placed.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("grams")).filter("k > 1")
-    totals = totals.withColumn("blocks", F.greatest(F.ceil(F.col("grams") / block), F.ceil(F.col("k") / most_sets)).cast("int"))
+    placed = cut(classes.join(_rooted(components(near)), "node"))
+    let_go(docs.sparkSession)
+    large = cut(_sized(placed, block, most_sets).filter("blocks > 1"))
+    if large.count():
+        placed = _split(rows, placed, large, width, percent)
+        let_go(docs.sparkSession)
+    totals = cut(_sized(placed, block, most_sets))
     everything, searched = totals.agg(F.coalesce(F.sum("grams"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
     buckets = int(everything // (block // 2)) + 1
     small = F.col("blocks") == 1
@@ -295,7 +396,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "mine").alias("i"), F.greatest(x, "mine").alias("j"), (F.col("mine") <= x).alias("asks")))
     asked = placed.join(totals.select("root", "blocks"), "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     places = asked.select("doc", "lo", "hi", "node", F.struct(small.alias("small"), key.alias("key"), "size", meets.alias("meets")).alias("place"))
-    held = rows.join(F.broadcast(places) if searched <= BROADCAST else places, "doc").select("text", "lo", "hi", "node", "place")
+    held = _with_texts(rows, places, searched).select("text", "lo", "hi", "node", "place")
     grams = held.mapInArrow(lean(_grams(width)), with_columns({"node": LongType(), "place": places.schema["place"].dataType}, "grams binary"))
     tasks = grams.select("node", "grams", "place.small", "place.key", "place.size", F.explode("place.meets").alias("p")).select("node", "grams", "size", "small", "key", "p.i", "p.j", "p.asks")
     found = cut(tasks.groupBy("small", "key", "i", "j").applyInArrow(_search(percent, pairs), FOUND))
@@ -303,8 +404,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     links = found.filter("b is not null").select("a", "b")
     across = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("across"))
     linked = components(links)
-    rooted = linked.select(F.col("v").alias("node"), "root").union(linked.select(F.col("root").alias("node"), "root").distinct())
-    member = classes.join(rooted, "node")
+    member = classes.join(_rooted(linked), "node")
     least = member.groupBy("root").agg(F.min("rep").alias("least"))
     linked_classes = member.join(least, "root").select("node", "least", "root")
     final = classes.join(linked_classes, "node", "left").join(across, "node", "left")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +278,49 @@ def test_jaccard_join_has_every_link(spark, block):
     assert {(a, b) for a in rep for b in rep if a != b and (rep[a] == rep[b] or (rep[a], rep[b]) in both)} == linked
 
 
+def test_sets_that_share_a_passage_are_not_searched_in_all_pairs_of_blocks(spark, monkeypatch):
+    """A passage puts 60 texts into one candidate group of 12 blocks; only the three that link are searched."""
+    rng, passage, seen, search = random.Random(3), [f"p{i}" for i in range(60)], spark.sparkContext.accumulator(0), jaccard._search
+
+    def counted(*args):
+        run = search(*args)
+
+        def both(group):
+            seen.add(group.num_rows)
+            return run(group)
+
+        return both
+
+    monkeypatch.setattr(jaccard, "_search", counted)
+    texts = [" ".join(passage + [f"w{rng.randrange(10**9)}" for _ in range(60)]) for _ in range(60)]
+    texts += [texts[0] + " more", "less " + texts[0]]
+    rows = [*enumerate(texts)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, block=2000, most_sets=5).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in got) == brute_components(rows, 5, 80)
+    assert [r.doc_id for r in got if r.n_links] and seen.value <= 12
+
+
+def test_ngrams_of_several_texts(monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON", 5)
+    rng = np.random.default_rng(8)
+    for size in (1, 2, 3, 7, 1000):
+        rows = np.sort(np.array([(r << 40) + (int(g) << 20) + n for r, g, n in zip(rng.integers(0, 2, 300).tolist(), rng.zipf(1.6, 300).clip(0, 99), rng.integers(0, 30, 300).tolist())]))
+        cols = rows >> 40, (rows >> 20) & 0xFFFFF, rows & 0xFFFFF
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in cols], names=["root", "gram", "node"]) for i in range(0, 300, size)]
+        got = [tuple(x.values()) for b in jaccard._common(iter(batches)) for x in b.to_pylist()]
+        once = set(zip(*[c.tolist() for c in cols]))
+        held = Counter(x[:2] for x in once)
+        assert sorted(got) == sorted((*x, min(5, held[x[:2]])) for x in once if held[x[:2]] > 1)
+
+
+def test_texts_of_many_ids_are_filtered_before_the_join(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST", 0)
+    rows = spark.range(5000).selectExpr("CAST(id % 4000 AS STRING) AS doc", "CAST(id AS STRING) AS text")
+    places = spark.range(0, 4000, 16).selectExpr("CAST(id AS STRING) AS doc", "id AS node")
+    got = jaccard._with_texts(rows, places, places.count())
+    assert sorted((r.doc, int(r.text), r.node) for r in got.collect()) == sorted((str(i % 4000), i, i % 4000) for i in range(5000) if i % 4000 % 16 == 0)
+
+
 def test_copies_of_a_task_emit_signatures_once(spark):
     df = spark.createDataFrame([(i, "the same words again and again " * 3) for i in range(400)], "doc_id long, text string").coalesce(2)
     rows = df.selectExpr("doc_id AS row", "doc_id AS doc", "CAST(NULL AS INT) AS carry", "text").mapInArrow(jaccard._sets(3, 90), "row long, doc long, carry int, n long, lo long, hi long, signatures array<long>")
