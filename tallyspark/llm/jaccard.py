@@ -316,6 +316,9 @@ class Join:
 #: Most classes whose place in the search is broadcast; more are joined by shuffle.
 BROADCAST = 1 << 17
 
+#: Most blocks of a candidate group that is searched as it is, in all pairs of blocks; larger ones are split first.
+PAIRED = 4
+
 #: Most words of the filter by which rows of other ids are left out of such a shuffle.
 WORDS = 1 << 20
 
@@ -384,7 +387,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     near = marks.repartition("sig").sortWithinPartitions("sig", "row").mapInArrow(lean(_stars), "a long, b long").distinct()
     placed = cut(classes.join(_rooted(components(near)), "node"))
     let_go(docs.sparkSession)
-    large = cut(_sized(placed, block, most_sets).filter("blocks > 1"))
+    large = cut(_sized(placed, block, most_sets).filter(F.col("blocks") > PAIRED))
     if large.count():
         placed = _split(rows, placed, large, width, percent)
         let_go(docs.sparkSession)
